@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .frames import table
+from .frames import crc_mod, table
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +16,24 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe,)}
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import langid
+
+    docs, rest = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 4)
+    model = langid.train(docs, rest != 2)
+    return langid.predict(docs.select("doc_id", "text", (rest == 2).alias("held_out")), model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs, rest = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5)
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), rest != 0)
+    scored = toxicity.score(docs.select("doc_id", "text", (rest == 0).alias("held_out")), model)
+    return scored.select("doc_id", "held_out", "score", "predicted", F.size("evidence").alias("n_evidence"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op6_language_id)}
 
 #: None of these has a SQL form; each is tested against brute force, a round trip or held-out labels.
 ORACLES: dict[str, str] = {}

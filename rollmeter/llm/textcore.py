@@ -58,6 +58,18 @@ def char_values() -> np.ndarray:
     return mix(np.arange(0x110000, dtype=U64) * _GOLD + U64(77))
 
 
+@lru_cache(1)
+def lower_table() -> np.ndarray:
+    """Lower case by code point, one for one, so that places in a text are kept."""
+    table = np.arange(0x110000, dtype=np.uint32)
+    for i in range(0x110000):
+        if not 0xD800 <= i <= 0xDFFF:
+            c = chr(i)
+            if c.isupper() or c.istitle():
+                table[i] = ord(c.lower()[0])
+    return table
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POW[0]) < n:
         size = max(n, CHUNK_CHARS * 3 // 2)
@@ -88,10 +100,12 @@ def chunks(sizes: Iterable[int], limit: int = CHUNK_CHARS) -> Iterator[tuple[int
 class Codes:
     """The code points of some texts, each text followed by a line break that belongs to none."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], fold: bool = False):
         self.n = len(texts)
         self.text = "\n".join(texts) + "\n"
         self.cp = np.frombuffer(self.text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if fold:
+            self.cp = lower_table()[self.cp]
         self.lens = np.fromiter(map(len, texts), np.int64, self.n)
         self.ends = np.cumsum(self.lens + 1) - 1
         self.starts = self.ends - self.lens
@@ -115,7 +129,7 @@ class Words:
     """
 
     def __init__(self, texts: list[str], letters_only: bool = False):
-        self.codes = Codes([t.lower() for t in texts])
+        self.codes = Codes(texts, fold=True)
         cls = char_classes()[self.codes.cp]
         inside = np.zeros(len(cls) + 2, np.int8)
         inside[1:-1] = (cls == LETTER) if letters_only else (cls == LETTER) | (cls == NUMBER)
