@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .frames import arrow_pass
 from .textcore import BREAK, LETTER, NUMBER, SPACE, U64, Codes, char_classes, chunks, clean, mix, ranges, seeds
 
-CACHE_PRETOKENS = 800_000  # per Python worker; only a cache, it is emptied when full
+CACHE_PRETOKENS = 1 << 20  # per Python worker; only a cache, it is emptied when full
 _APOSTROPHE, _BLANK = 0x27, 0x20
 
 
@@ -122,6 +122,38 @@ class _Grown:
         return self._all[: self.n]
 
 
+class _Slots:
+    """Open-addressing table from 64-bit names to small numbers; a batch is probed or filled at once."""
+
+    BITS = 21
+
+    def __init__(self):
+        self.key, self.value, self.n = np.zeros(1 << self.BITS, U64), np.zeros(1 << self.BITS, np.int32), 0
+
+    def _home(self, names: np.ndarray) -> np.ndarray:
+        return (names >> U64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, names: np.ndarray) -> np.ndarray:
+        out, at, open_ = np.full(len(names), -1, np.int64), self._home(names), np.arange(len(names))
+        while len(open_):
+            key = self.key[at]
+            hit = key == names[open_]
+            out[open_[hit]] = self.value[at[hit]]
+            more = ~hit & (key != 0)
+            open_, at = open_[more], (at[more] + 1) & ((1 << self.BITS) - 1)
+        return out
+
+    def add(self, names: np.ndarray, values: np.ndarray) -> None:
+        """names: distinct, none of them present, none 0."""
+        at, self.n = self._home(names), self.n + len(names)
+        while len(names):
+            free = self.key[at] == 0
+            self.key[at[free]] = names[free]
+            placed = self.key[at] == names
+            self.value[at[placed]] = values[placed]
+            names, values, at = names[~placed], values[~placed], (at[~placed] + 1) & ((1 << self.BITS) - 1)
+
+
 class ByteBPE:
     """Encoder and decoder for one rank file."""
 
@@ -146,7 +178,7 @@ class ByteBPE:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = _Slots()
         self.pool, self.pool_at = _Grown(np.int32), _Grown(np.int64)
         self.pool_at.add([0])
 
@@ -198,13 +230,15 @@ class ByteBPE:
         if not len(missed):
             return start, end, count, self.slot_id[slot]
         one, where, back = np.unique(names[missed], return_index=True, return_inverse=True)
-        if len(self.known) + len(one) > CACHE_PRETOKENS:
-            self._forget()
-        names = one.tolist()
-        at = np.fromiter((self.known.get(x, -1) for x in names), np.int64, len(names))
+        one |= U64(one == 0)
+        at = self.known.find(one)
         new = np.flatnonzero(at < 0)
+        if self.known.n + len(new) > CACHE_PRETOKENS and self.known.n or self.pool_at.n > 2 * CACHE_PRETOKENS:
+            self._forget()
+            at, new = np.full(len(one), -1, np.int64), np.arange(len(one))
         at[new] = self.pool_at.n - 1 + np.arange(len(new))
-        self.known.update(zip(one[new].tolist(), at[new].tolist()))
+        if len(one) <= CACHE_PRETOKENS:
+            self.known.add(one[new], at[new])
         ids, stops, text, n = [], [], codes.text, self.pool.n
         for i, j in zip(start[missed[where[new]]].tolist(), end[missed[where[new]]].tolist()):
             ids += self.merge(text[i:j].encode("utf-8", "surrogatepass"))
@@ -294,8 +328,33 @@ def decode(df: DataFrame, path: str, column: str = "ids") -> DataFrame:
     return arrow_pass(df.select(*names), make, schema)
 
 
+def round_trip(df: DataFrame, path: str, column: str = "text") -> DataFrame:
+    """df with `n_tokens`, `ids` and `decoded` (binary) in place of its text column: encode() then decode() in one pass."""
+    kept = _kept(df, (column, "ids", "n_tokens", "decoded"))
+    schema = T.StructType([*kept, T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.BinaryType())])
+    names = [f.name for f in kept]
+
+    def make():
+        bpe = load(path)
+
+        def step(batch):
+            texts = clean(batch.column(column).to_pylist())
+            for a, b in chunks(map(len, texts)):
+                n, ids = bpe.encode_batch(texts[a:b])
+                at = np.concatenate(([0], np.cumsum(n))).astype(np.int32)
+                flat = ids.tolist()
+                back = [bpe.decode(flat[x:y]) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+                part = batch.slice(a, b - a)
+                arrays = [*(part.column(x) for x in names), pa.array(n), pa.ListArray.from_arrays(pa.array(at), pa.array(ids)), pa.array(back, pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_tokens", "ids", "decoded"])
+
+        return step
+
+    return arrow_pass(df.select(*names, column), make, schema)
+
+
 def digests(df: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
-    """key, n_tokens, ids_sha256, decoded_sha256 of every text of df, through encode() and decode()."""
-    coded = decode(encode(df.select(key, "text"), path), path)
+    """key, n_tokens, ids_sha256, decoded_sha256 of every text of df, encoded and decoded."""
+    coded = round_trip(df.select(key, "text"), path)
     text = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select(key, "n_tokens", F.sha2(text.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

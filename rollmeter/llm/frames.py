@@ -17,7 +17,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def arrow_pass(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
-    """Each Arrow batch through the function that `make` builds once a task."""
+    """Each Arrow batch through the function that `make` builds once a task.
+
+    Batches are small, so that long texts and two Python workers fit beside an executor's heap.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
     def run(batches):
         step = make()
@@ -56,6 +61,14 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+SMALL_ROWS = 400_000  # of ids and numbers, so some ten MB
+
+
+def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
+    """df, to be broadcast if it is counted to have few rows; else a join with it shuffles."""
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def _forget_at_exit(spark: SparkSession, path: str) -> None:
     """The tables of this module are scratch: removed when the driver ends."""
     import atexit
