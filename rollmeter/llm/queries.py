@@ -33,7 +33,19 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted", F.size("evidence").alias("n_evidence"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op6_language_id)}
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import nearjoin
+
+    return nearjoin.near_join(table(spark, sf_dir, "documents")).drop("key")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontam
+
+    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op4_ngram_join, op6_language_id, op7_decontamination)}
 
 #: None of these has a SQL form; each is tested against brute force, a round trip or held-out labels.
 ORACLES: dict[str, str] = {}
