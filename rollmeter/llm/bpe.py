@@ -162,6 +162,7 @@ class ByteBPE:
         self.token = [b""] * (max(ranks.values(), default=-1) + 1)
         for piece, rank in ranks.items():
             self.token[rank] = piece
+        self.sizes = np.fromiter(map(len, self.token), np.int64, len(self.token))
         words, ids = [], []
         for piece, rank in ranks.items():
             try:

@@ -45,7 +45,38 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op4_ngram_join, op6_language_id, op7_decontamination)}
+def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html
+
+    return html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import fingerprint
+
+    return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from . import tokencount
+
+    return tokencount.attribute(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import quality
+
+    rest = crc_mod(F.col("doc_id"), 5)
+    scored = quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), rest != 0)
+    return scored.withColumn("held_out", rest == 0)
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_byte_bpe, op3_html_extraction, op4_ngram_join, op5_fingerprints, op6_language_id, op7_decontamination, op8_token_counts, op9_quality)
+}
 
 #: None of these has a SQL form; each is tested against brute force, a round trip or held-out labels.
 ORACLES: dict[str, str] = {}
