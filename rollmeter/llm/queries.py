@@ -73,9 +73,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("held_out", rest == 0)
 
 
+def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import chat
+
+    return chat.format_messages(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_byte_bpe, op3_html_extraction, op4_ngram_join, op5_fingerprints, op6_language_id, op7_decontamination, op8_token_counts, op9_quality)
+    for f in (op1_toxicity, op2_byte_bpe, op3_html_extraction, op4_ngram_join, op5_fingerprints, op6_language_id, op7_decontamination, op8_token_counts, op9_quality, op10_chat_format)
 }
 
 #: None of these has a SQL form; each is tested against brute force, a round trip or held-out labels.
