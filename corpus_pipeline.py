@@ -3,19 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rollmeter.llm import bpe, decontam, langid, nearjoin, toxicity
 from rollmeter.llm.frames import crc_mod, table, written
-from pyspark.sql import functions as F
-
-LEAST_LANGUAGE_SCORE = 0.5  # a text of which no language has half is rejected
-
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts in a language the model knows; those without a letter or without a clear language go."""
+    """Texts in a language the model knows; those without a letter go.  A text of several languages stays."""
     model = langid.train(docs, crc_mod(F.col("doc_id"), 4) != 2)
     seen = langid.predict(docs, model)
-    return seen.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select(*docs.columns)
+    return seen.where(F.col("lang_pred") != langid.UNKNOWN).select(*docs.columns)
 
 
 def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
