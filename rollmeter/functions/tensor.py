@@ -6,8 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
-
-ZERO = F.lit  # a fresh literal each time
+from . import let
 
 
 def total(a: Column) -> Column:
@@ -15,10 +14,14 @@ def total(a: Column) -> Column:
 
 
 def log_softmax(logits: Column, temperature: float = 1.0) -> Column:
-    a = F.transform(logits, lambda x: x.cast("double") / temperature)
-    top = F.array_max(a)
-    log_sum = F.log(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
-    return F.transform(a, lambda x: x - top - log_sum)
+    def shifted(a: Column) -> Column:
+        def by_top(top: Column) -> Column:
+            log_sum = F.log(F.aggregate(a, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+            return let(log_sum, lambda z: F.transform(a, lambda x: x - top - z))
+
+        return let(F.array_max(a), by_top)
+
+    return let(F.transform(logits, lambda x: x.cast("double") / temperature), shifted)
 
 
 def entropy(logp: Column) -> Column:

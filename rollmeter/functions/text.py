@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from . import let
 
 
 def normalize_exact(text: Column) -> Column:
@@ -22,8 +23,12 @@ def tokens(text: Column) -> Column:
 
 def shingles(words: Column, n: int = K.SHINGLE) -> Column:
     """The set of runs of n words, each joined by blanks; empty if there are fewer words."""
-    every = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    def runs(w: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.array_join(F.slice(w, i + 1, n), " "))
+        return F.when(F.size(w) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+    return let(words, runs)
 
 
 def normalize_question(text: Column) -> Column:

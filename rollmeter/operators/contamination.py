@@ -6,12 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import constants as K
+from ..functions import let
 from ..functions.text import normalize_exact, preview, shingles, tokens
 from .common import broadcast_if_small
 
 
 def _sets(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    return df.select(F.col(key), tokens(F.col(text)).alias("_words")).select(key, F.size("_words").alias("n_tokens"), shingles(F.col("_words"), n).alias("set"))
+    both = let(tokens(F.col(text)), lambda w: F.struct(F.size(w).alias("n_tokens"), shingles(w, n).alias("set")))
+    return df.select(F.col(key), both.alias("_s")).select(key, "_s.*")
+
+
+def _rows(df: DataFrame, key: str, size: str, n: int) -> DataFrame:
+    """A row for each shingle, with the size of its set."""
+    pair = let(_sets_column("text", n), lambda s: F.transform(s, lambda x: F.struct(x.alias("shingle"), F.size(s).alias(size))))
+    return df.select(key, F.explode(pair).alias("_p")).select(key, "_p.*")
+
+
+def _sets_column(text: str, n: int):
+    return shingles(tokens(F.col(text)), n)
 
 
 def overlaps(corpus: DataFrame, benchmark: DataFrame, n: int = K.SHINGLE) -> DataFrame:
@@ -20,8 +32,7 @@ def overlaps(corpus: DataFrame, benchmark: DataFrame, n: int = K.SHINGLE) -> Dat
     Only shared shingles leave the scan of the corpus: the benchmark's
     shingles are the broadcast side of the join while they are few.
     """
-    items = _sets(benchmark, "item_id", "text", n).select("item_id", F.size("set").alias("n_item"), F.explode("set").alias("shingle"))
-    docs = _sets(corpus, "doc_id", "text", n).select("doc_id", F.size("set").alias("n_doc"), F.explode("set").alias("shingle"))
+    items, docs = (_rows(df, key, size, n) for df, key, size in ((benchmark, "item_id", "n_item"), (corpus, "doc_id", "n_doc")))
     pairs = docs.join(broadcast_if_small(items), "shingle")
     longest = F.min(F.struct((-F.length("shingle")).alias("l"), "shingle"))
     return pairs.groupBy("item_id", "doc_id").agg(F.count("*").alias("common"), F.max("n_item").alias("n_item"), F.max("n_doc").alias("n_doc"), longest.alias("_e")).withColumn("example", F.col("_e.shingle")).drop("_e")

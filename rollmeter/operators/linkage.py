@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,8 +14,6 @@ LEFTOVER = 200  # of a side, compared each with each; more means that the lists
 
 def ratio():
     """Similarity of two texts by matching blocks, vectorised over pairs."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def matching(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher

@@ -7,8 +7,10 @@ never meet rows of another, so replicates spread over the cluster.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .. import constants as K
 from ..functions.draws import draw
@@ -147,8 +149,6 @@ def seed_aware(cells: DataFrame, key: str = "problem_id", value: str = "value",
 
 
 def _t_half(p: float):
-    import pandas as pd
-
     from ..functions.student_t import quantile
 
     @F.pandas_udf("double")
@@ -206,7 +206,7 @@ def out_of_fold(rows: DataFrame, feature: str, label: str, cluster: str, group:
     w = Window.partitionBy(group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(cluster).cast("string")).cast("binary")), cluster)
     fold = ids.withColumn("fold", (F.row_number().over(w) - 1) % folds)
     data = rows.join(fold, [group, cluster]).where(F.col(feature).isNotNull())
-    schema = data.schema.add("predicted", "double")
+    schema = StructType([*data.schema, StructField("predicted", DoubleType())])
 
     def fit(pdf):
         import numpy as np

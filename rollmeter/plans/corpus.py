@@ -138,7 +138,7 @@ def prompt_texts(spark, sf_dir):
     return read(spark, sf_dir, "documents").select(F.explode(kinds).alias("kind", "value"), "doc_id").select("kind", "doc_id", F.md5("value").alias("digest"))
 
 
-@query("select doc_id, cast(" + " + ".join(rf"len(regexp_extract_all(lower(text), '\b{w}\b'))" for w in ("the", "de", "in")) + " as int) as n from documents")
+@query(r"select doc_id, cast(len(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'), lambda x: x in ('the', 'de', 'in'))) as int) as n from documents")
 def marker_counts(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", text.marker_count(F.col("text"), ("the", "de", "in")).alias("n"))
 

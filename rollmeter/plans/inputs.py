@@ -15,16 +15,16 @@ select problem_id, sample_index, condition, correct, position, position / greate
        entropy, case when condition = 'none' then entropy else entropy_student end as entropy_student,
        condition = 'none' or k % 3 <> 0 as top1_agree_with_student, k % 11 = 0 as is_correction_marker,
        (k % 13) / 13e0 as eos_prob, (k % 17) / 17e0 as eos_prob_student, (k % 19) / 19e0 as think_close_prob, (k % 7) / 7e0 as think_close_prob_student,
-       (k % 5) / 5e0 as answer_transition_prob, (k % 3) / 3e0 as answer_transition_prob_student,
-       case when condition = 'none' then 0e0 else value / 100e0 end as full_kl,
-       case when condition = 'none' then 0e0 else least(value / 100e0, 0.05e0) end as clipped_kl,
+       (k % 5) / 5.3e0 as answer_transition_prob, (k % 3) / 3e0 as answer_transition_prob_student,
+       case when condition = 'none' then 0e0 else value / 97e0 end as full_kl,
+       case when condition = 'none' then 0e0 else least(value / 97e0, 0.05e0) end as clipped_kl,
        length(condition) * 10e0 as pi_length_tokens
 from (
   select cast(floor(user_id / 4) as bigint) as problem_id, user_id % 4 as sample_index, user_id % 3 <> 0 as correct, value,
          case when event_type = 'view' then 'none' else event_type end as condition,
-         row_number() over (partition by user_id, event_type order by ts, event_id) - 1 as position,
+         cast(row_number() over (partition by user_id, event_type order by ts, event_id) - 1 as bigint) as position,
          count(*) over (partition by user_id, event_type) as n, k,
-         -(k % 50) / 10e0 - 0.01e0 as logp, -(k % 37) / 10e0 - 0.01e0 as logp_student, (k % 23) / 7e0 as entropy, (k % 29) / 7e0 as entropy_student
+         -(k % 50) / 7e0 - 0.01e0 as logp, -(k % 37) / 7e0 - 0.01e0 as logp_student, (k % 23) / 7e0 as entropy, (k % 29) / 7e0 as entropy_student
   from (select *, cast(regexp_extract(props, '([0-9]+)', 1) as int) as k from {events}) e
 ) t
 """

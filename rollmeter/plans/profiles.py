@@ -19,7 +19,7 @@ avg(cast(not top1_agree_with_student as int)) as top1_disagreement_rate, count(*
     f"avg({x}) as {n}_mean, max({x}) as {n}_max" for s in K.STOP_SIGNALS for x, n in ((s, s), (f"{s}_student", f"{s}_student"), (f"{s} - {s}_student", f"{s}_delta"))
 ) + " from profile group by 1, 2, 3"
 _MEANS = ", ".join(f"{k}_sum / n_tokens as {k}_mean, " + ", ".join(f"{k}_sum_{p} / nullif({n}, 0) as {k}_mean_{p}" for p, n in (("think", "n_think_tokens"), ("answer", "n_answer_tokens"), *((f"q{q}", f"n_tokens_q{q}") for q in range(4)))) for k in ("full_kl", "clipped_kl"))
-ROUND = "select columns(c -> c in ('problem_id', 'sample_index', 'condition', 'correct') or c like 'n_%' or c = 'marker_count'), round(columns(c -> not (c in ('problem_id', 'sample_index', 'condition', 'correct') or c like 'n_%' or c = 'marker_count')), 6) from "
+ROUND = "select columns(lambda c: c in ('problem_id', 'sample_index', 'condition', 'correct') or c like 'n_%' or c = 'marker_count'), round(columns(lambda c: not (c in ('problem_id', 'sample_index', 'condition', 'correct') or c like 'n_%' or c = 'marker_count')), 6) from "
 
 
 @query(with_tables(f"with g as ({_GROUP}), m as (select *, {_MEANS}, marker_log_ratio_sum / nullif(marker_count, 0) as marker_log_ratio_mean from g) {ROUND} m"))
@@ -126,16 +126,16 @@ def gate_rule(spark, sf_dir):
     return ops.gate(base, v.select("view", (F.col("x") + F.when(F.col("view") == "click", 1).otherwise(0)).alias("drift_value")))
 
 
-_LS = "list_transform(embedding, x -> cast(x as double) - list_max(embedding) - ln(list_sum(list_transform(embedding, y -> exp(cast(y as double) - list_max(embedding))))))"
+_LS = "list_transform(embedding, lambda x: cast(x as double) - list_max(embedding) - ln(list_sum(list_transform(embedding, lambda y: exp(cast(y as double) - list_max(embedding))))))"
 LOGITS = f"l as (select vec_id, label, embedding, {_LS} as lp from embeddings)"
-PAIRS = f"with {LOGITS}, k as (select a.vec_id, a.lp as p, b.lp as q from l a join l b on b.vec_id = a.vec_id + 1), z as (select vec_id, list_transform(list_zip(p, q), x -> exp(x[1]) * (x[1] - x[2])) as t from k) "
+PAIRS = f"with {LOGITS}, k as (select a.vec_id, a.lp as p, b.lp as q from l a join l b on b.vec_id = a.vec_id + 1), z as (select vec_id, list_transform(list_zip(p, q), lambda x: exp(x[1]) * (x[1] - x[2])) as t from k) "
 
 
 def _logp(spark, sf_dir):
     return read(spark, sf_dir, "embeddings").select("vec_id", "label", tensor.log_softmax(F.col("embedding")).alias("lp"), "embedding")
 
 
-@query(f"with {LOGITS} select vec_id, round(-list_sum(list_transform(lp, x -> exp(x) * x)), 6) as entropy, cast(list_position(embedding, list_max(embedding)) - 1 as bigint) as top, round(lp[label + 1], 6) as target_logp from l")
+@query(f"with {LOGITS} select vec_id, round(-list_sum(list_transform(lp, lambda x: exp(x) * x)), 6) as entropy, cast(list_position(embedding, list_max(embedding)) - 1 as bigint) as top, round(lp[label + 1], 6) as target_logp from l")
 def log_softmax_entropy(spark, sf_dir):
     d = _logp(spark, sf_dir)
     return rounded(d.select("vec_id", tensor.entropy(F.col("lp")).alias("entropy"), tensor.argmax(F.col("embedding")).alias("top"), tensor.gather(F.col("lp"), F.col("label")).alias("target_logp")))
@@ -151,7 +151,7 @@ def forward_kl(spark, sf_dir):
     return rounded(_pairs(spark, sf_dir).select("vec_id", tensor.forward_kl(F.col("p"), F.col("q")).alias("kl")))
 
 
-@query(PAIRS + "select vec_id, round(list_sum(list_transform(t, x -> least(x, 0.0005))), 6) as kl, round(list_sum(list_filter(t, x -> x > 0)) / greatest(len(list_filter(t, x -> x > 0)), 1), 6) as masked from z")
+@query(PAIRS + "select vec_id, round(list_sum(list_transform(t, lambda x: least(x, 0.0005))), 6) as kl, round(list_sum(list_filter(t, lambda x: x > 0)) / greatest(len(list_filter(t, lambda x: x > 0)), 1), 6) as masked from z")
 def clipped_kl(spark, sf_dir):
     d = _pairs(spark, sf_dir).withColumn("t", F.zip_with("p", "q", lambda p, q: F.exp(p) * (p - q)))
     return rounded(d.select("vec_id", tensor.clipped_kl(F.col("p"), F.col("q"), 0.0005).alias("kl"), tensor.masked_mean(F.col("t"), F.transform("t", lambda x: x > 0)).alias("masked")))

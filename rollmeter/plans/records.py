@@ -182,8 +182,8 @@ def fork_mask_losses(spark, sf_dir):
     return rounded(df)
 
 
-@query("""with t as (select vec_id, list_transform(embedding[1:12], x -> cast(floor(abs(x) * 50) as int)) as ids from embeddings), s as (select vec_id, ids, list_min(list_filter([list_position(ids, 3), list_position(ids, 7)], x -> x > 0)) as at from t)
-select vec_id, cast(len(case when at is null then ids else ids[1:at] end) as int) as n, case when at is null then 'length' else 'stop' end as reason, cast(len(case when at is null then ids else ids[1:at] end) as int) + case when at is not null and ids[at] <> 3 then 1 else 0 end as n_eos from s""")
+@query("""with t as (select vec_id, list_transform(embedding[1:12], lambda x: cast(floor(abs(x) * 50) as int)) as ids from embeddings), s as (select vec_id, ids, list_min(list_filter([list_position(ids, 3), list_position(ids, 7)], lambda x: x > 0)) as k from t)
+select vec_id, cast(len(case when k is null then ids else ids[1:k] end) as int) as n, case when k is null then 'length' else 'stop' end as reason, cast(len(case when k is null then ids else ids[1:k] end) as int) + case when k is not null and ids[k] <> 3 then 1 else 0 end as n_eos from s""")
 def stop_truncation(spark, sf_dir):
     ids = F.transform(F.slice("embedding", 1, 12), lambda x: F.floor(F.abs(x) * 50).cast("int"))
     df = read(spark, sf_dir, "embeddings").select("vec_id", ids.alias("ids"))

@@ -12,18 +12,18 @@ from pyspark.sql.types import StructType
 from ..operators.common import first_by
 
 
-def jsonl(spark: SparkSession, *paths: str, schema: StructType) -> DataFrame:
+def jsonl(spark: SparkSession, *paths: str, schema: StructType | str) -> DataFrame:
     """JSON lines; blank lines are skipped.  Columns missing in a file are null."""
     return spark.read.schema(schema).json(list(paths))
 
 
-def numbered_jsonl(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def numbered_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """JSON lines with `line`, which orders the rows of a file by their place in it (file name, then block and row)."""
     df = spark.read.schema(schema).json(path).withColumn("line", F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
     return df
 
 
-def document(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def document(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """One JSON document."""
     return spark.read.schema(schema).option("multiLine", True).json(path)
 
@@ -39,7 +39,7 @@ def parquet(spark: SparkSession, *shards: str, columns: list[str] | None = None)
     return df.select(*columns) if columns else df
 
 
-def csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+def csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     return spark.read.schema(schema).option("header", True).csv(path)
 
 
@@ -56,7 +56,7 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at))
 
 
-def if_there(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFrame | None, dict]:
+def if_there(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame | None, dict]:
     """(rows or None, provenance)."""
     found = exists(spark, path)
     return (jsonl(spark, path, schema=schema) if found else None), {"path": path, "complete": found}
@@ -65,7 +65,7 @@ def if_there(spark: SparkSession, path: str, schema: StructType) -> tuple[DataFr
 CELL_FILE = r"^(.*?)b(\d+)_(.+)_step(\d+)_(\w+)\.jsonl$"
 
 
-def cells(spark: SparkSession, pattern: str, schema: StructType) -> DataFrame:
+def cells(spark: SparkSession, pattern: str, schema: StructType | str) -> DataFrame:
     """Result files by glob, with prefix, shard, run, step and split from the file name."""
     df = spark.read.schema(schema).json(pattern).withColumn("_file", F.col("_metadata.file_name"))
     for i, name in enumerate(("prefix", "shard", "run", "step", "split"), 1):
@@ -90,7 +90,7 @@ def benchmark(frames: dict[str, tuple[DataFrame, dict[str, str]]]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def supervision(spark: SparkSession, schema: StructType, local: str = "SUPERVISION_JSONL", root: str | None = None, split: str = "train") -> DataFrame:
+def supervision(spark: SparkSession, schema: StructType | str, local: str = "SUPERVISION_JSONL", root: str | None = None, split: str = "train") -> DataFrame:
     """The local file that the environment names, or else the data set folder."""
     path = os.environ.get(local)
     return jsonl(spark, path, schema=schema) if path else dataset(spark, root, split)

@@ -12,7 +12,7 @@ from ..operators.planning import step_means
 from ..schemas import TRAJECTORY
 
 
-def trajectory_log(spark: SparkSession, folder: str, schema: StructType = TRAJECTORY, files: int = 100) -> DataFrame:
+def trajectory_log(spark: SparkSession, folder: str, schema: StructType | str = TRAJECTORY, files: int = 100) -> DataFrame:
     """An append-only folder of JSON lines; new files become micro-batches."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).json(folder)
 
