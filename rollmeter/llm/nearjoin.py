@@ -109,15 +109,22 @@ def likeness(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
 
 
 def leaders(sig: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(leader, those near it) until each is in the group of a leader.
+    """(leader, those near it that no earlier leader has joined to it) until each is in the group of a leader.
 
     The distance is a metric: of two sets at the threshold one is in a
-    leader's group (0.1) and so the other is within 0.3 of that leader.
+    leader's group (0.1) and so the other is within 0.3 of that leader.  Only
+    joins that are new are told, so there are fewer of them than sets.
     """
-    left, out = np.arange(len(sig)), []
+    left, group, out = np.arange(len(sig)), np.arange(len(sig)), []
     while len(left):
-        like = likeness(sig[left], sig[left[0]])
-        out.append((int(left[0]), left[1:][like[1:] >= NEAR_LEADER]))
+        one = int(left[0])
+        like = likeness(sig[left], sig[one])
+        near = left[1:][like[1:] >= NEAR_LEADER]
+        _, at = np.unique(group[near], return_index=True)
+        new = near[at][group[near[at]] != group[one]]
+        if len(new):
+            group[np.isin(group, group[new])] = group[one]
+        out.append((one, new))
         left = left[1:][like[1:] < SAME_LEADER]
     return out
 
