@@ -31,6 +31,16 @@ def shingles(words: Column, n: int = K.SHINGLE) -> Column:
     return let(words, runs)
 
 
+def shingle_names(words: Column, n: int = K.SHINGLE) -> Column:
+    """The same set by 64-bit names, which cost neither strings nor their comparison."""
+
+    def runs(w: Column) -> Column:
+        every = F.transform(F.sequence(F.lit(0), F.size(w) - n), lambda i: F.xxhash64(F.slice(w, i + 1, n)))
+        return F.when(F.size(w) >= n, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(words, runs)
+
+
 def normalize_question(text: Column) -> Column:
     """Lower case, white space (Unicode) runs as one blank, trimmed."""
     return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
