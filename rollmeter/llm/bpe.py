@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import arrow_pass
-from .textcore import BREAK, LETTER, NUMBER, SPACE, U64, Codes, char_classes, chunks, clean, mix, ranges, seeds
+from .textcore import BREAK, LETTER, SPACE, U64, Codes, char_classes, chunks, clean, mix, ranges, seeds
 
 CACHE_PRETOKENS = 1 << 20  # per Python worker; only a cache, it is emptied when full
 _APOSTROPHE, _BLANK = 0x27, 0x20

@@ -116,10 +116,7 @@ class Benchmark:
                 sizes = sorted({n for e in np.unique(entry[a:b]).tolist() for n in self.sizes_of[k][e]})
                 for n in sizes:
                     self._windows(words, name, k, int(doc[a]), at[a:b], entry[a:b], self.groups[n], threshold, best)
-        return [(d, self.items_id(i), *v) for (d, i), v in sorted(best.items())]
-
-    def items_id(self, i: int) -> int:
-        return self.ids[i]
+        return [(d, self.ids[i], *v) for (d, i), v in sorted(best.items())]
 
     def _windows(self, words, name, k, doc, at, entry, group, threshold, best) -> None:
         width = group.size - k + 1  # shingles of a window

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import partitions
-from .textcore import U64, Codes, _powers, char_values, chunks, clean, mix, seeds
+from .textcore import U64, Codes, _powers, char_values, chunks, mix, seeds
 
 LEVELS = 5
 SLOTS = 16

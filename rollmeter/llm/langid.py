@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -253,15 +253,12 @@ def sample(docs: DataFrame, learn, label: str = "lang") -> tuple[list[str], list
         return [], []
     dice = F.pmod(F.xxhash64(F.lit(11), "doc_id", label), F.lit(1 << 40)) / float(1 << 40)
     share = F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(ROWS_PER_LANGUAGE / n))])
-    rows = labelled.select("text", F.col(label).alias("_label"), dice.alias("_dice"), share[F.col(label)].alias("_share")).where("_dice < _share").collect()
-    rows.sort(key=lambda r: (r._dice, r._label, r.text))
-    texts, labels, left = [], [], dict.fromkeys((c[0] for c in counts), SAMPLE_CHARS // len(counts))
-    for r in rows:
-        if left[r._label] > 0:
-            left[r._label] -= len(r.text)
-            texts.append(r.text)
-            labels.append(r._label)
-    return texts, labels
+    rows = labelled.select("text", F.col(label).alias("_label"), dice.alias("_dice"), share[F.col(label)].alias("_share")).where("_dice < _share")
+    order = Window.partitionBy("_label").orderBy("_dice", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of the sample alone
+    before = F.sum(F.length("text")).over(order) - F.length("text")
+    got = rows.withColumn("_before", before).where(F.col("_before") < SAMPLE_CHARS // len(counts)).select("text", "_label", "_dice").collect()
+    got.sort(key=lambda r: (r._dice, r._label, r.text))
+    return [r.text for r in got], [r._label for r in got]
 
 
 def train(docs: DataFrame, learn) -> Model | None:

@@ -76,7 +76,6 @@ def _rows(bpe: ByteBPE, texts: list[str], sections: list[list[tuple[int, int]]]
         number = np.arange(len(doc)) - np.searchsorted(doc, doc)
         tokens = np.bincount(spans.owners(spans.byte[starts]), minlength=len(starts)) if len(spans.ids) else np.zeros(len(starts), np.int64)
         return doc, number, starts - codes.starts[doc], stop - codes.starts[doc], tokens
-    out = []
     edges, who = [], []
     for d, given in enumerate(sections):
         at = 0
@@ -101,8 +100,7 @@ def _rows(bpe: ByteBPE, texts: list[str], sections: list[list[tuple[int, int]]]
         tokens[filled] = np.bincount(own, minlength=len(filled))
     number = np.array(who)
     keep = (number != OUTSIDE) | (tokens > 0)
-    out = (d[keep], number[keep], a[keep], b[keep], tokens[keep])
-    return out
+    return d[keep], number[keep], a[keep], b[keep], tokens[keep]
 
 
 def attribute(docs: DataFrame, path: str, sections: str | None = None) -> DataFrame:
