@@ -1,11 +1,11 @@
 """Benchmark decontamination by SimHash windows.
 
-Every run of words as long as a benchmark item is a window.  Its fingerprint
-is the SimHash of its weighted five-word shingles; a multi-index over the
+Every run of words as long as a benchmark item is a window; a text with fewer
+words than the item is one window of all its words.  A window's fingerprint is the SimHash of its weighted five-word shingles; a multi-index over the
 fingerprint's eight bytes finds every item of that length within RADIUS bits
 (a pair within 8 * 3 - 1 bits agrees in some byte up to two bits), and the
 exact weighted Jaccard similarity of the shingle sets decides.  A shingle's
-weight is 1 + ln(items / items that have it).  Windows without any shingle of
+weight is 1 + ln(items / items that have it), over the whole benchmark.  Windows without any shingle of
 an item of their length have similarity 0 and are not fingerprinted.
 
 Defined results: null and empty texts, and items without a word, match
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import arrow_pass, small, written
-from .textcore import SHINGLE_WORDS, U64, NameSet, Words, chunks, clean, mix, seeds
+from .textcore import SHINGLE_WORDS, U64, NameSet, Words, chunks, clean, mix, seeds, signed
 
 THRESHOLD = 0.8
 BLOCKS, BLOCK_RADIUS = 8, 2
@@ -73,28 +73,50 @@ class Group:
         return w[keep], k[keep], bits[keep]
 
 
+def item_shingles(words: Words) -> dict[int, np.ndarray]:
+    """The shingles of each text with a word: runs of five words, or of all where it has fewer."""
+    sizes = words.counts.tolist()
+    name = {k: runs(words, k)[0] for k in {min(n, SHINGLE_WORDS) for n in sizes if n}}
+    first = words.first.tolist()
+    return {i: name[min(n, SHINGLE_WORDS)][first[i] : first[i] + n - min(n, SHINGLE_WORDS) + 1] for i, n in enumerate(sizes) if n}
+
+
+class Shared:
+    """Shingles of at least two items of a benchmark, with the number of items; any other is of one item at most."""
+
+    def __init__(self, total: int, names: np.ndarray, n: np.ndarray):
+        order = np.argsort(names)
+        self.total, self.names, self.n = total, NameSet(names), n[order]
+
+    @property
+    def unseen(self) -> float:
+        return 1 + float(np.log(max(1, self.total)))
+
+    def weights(self, names: np.ndarray) -> np.ndarray:
+        out = np.full(len(names), self.unseen)
+        at, entry = self.names.find(names)
+        out[at] = 1 + np.log(self.total / self.n[entry])
+        return out
+
+
 class Benchmark:
-    """Items of a pass: one NameSet for each shingle size, groups by length."""
+    """Items of a pass: one NameSet for each shingle size, groups by length; weights by the whole benchmark."""
 
-    def __init__(self, ids: list[int], texts: list[str]):
+    def __init__(self, ids: list[int], texts: list[str], shared: Shared):
         words = Words(texts)
         self.ids, sizes = ids, words.counts
         by_size, member = defaultdict(list), defaultdict(set)
         for i, n in enumerate(sizes.tolist()):
             if n:
                 by_size[n].append(i)
-        shingle_of = {k: runs(words, k)[0] for k in {min(n, SHINGLE_WORDS) for n in by_size}}
-        spans = {}
-        for n, items in by_size.items():
-            k = min(n, SHINGLE_WORDS)
-            for i in items:
-                a = words.first[i]
-                spans[i] = shingle_of[k][a : a + n - k + 1]
-                for s in spans[i].tolist():
-                    member[s].add(i)
-        self.unseen = 1 + np.log(max(1, len(ids)))
-        self.weight = {s: 1 + float(np.log(len(ids) / len(m))) for s, m in member.items()}
-        self.names = {k: NameSet(np.concatenate([spans[i] for n, items in by_size.items() if min(n, SHINGLE_WORDS) == k for i in items])) for k in shingle_of}
+        spans = item_shingles(words)
+        for i, span in spans.items():
+            for s in span.tolist():
+                member[s].add(i)
+        self.shared = shared
+        shingles = np.fromiter(member, U64, len(member))
+        self.weight = dict(zip(shingles.tolist(), shared.weights(shingles).tolist()))
+        self.names = {k: NameSet(np.concatenate([spans[i] for n, items in by_size.items() if min(n, SHINGLE_WORDS) == k for i in items])) for k in {min(n, SHINGLE_WORDS) for n in by_size}}
         self.weights = {k: np.array([self.weight[s] for s in v.names.tolist()]) for k, v in self.names.items()}
         self.sizes_of = {k: [sorted({int(sizes[i]) for i in member[s]}) for s in v.names.tolist()] for k, v in self.names.items()}
         self.groups = {}
@@ -119,17 +141,17 @@ class Benchmark:
         return [(d, self.ids[i], *v) for (d, i), v in sorted(best.items())]
 
     def _windows(self, words, name, k, doc, at, entry, group, threshold, best) -> None:
-        width = group.size - k + 1  # shingles of a window
-        lo, hi = words.first[doc], words.first[doc + 1] - group.size  # first and last start
+        size = min(group.size, int(words.first[doc + 1] - words.first[doc]))
+        width = size - k + 1  # shingles of a window
+        lo, hi = words.first[doc], words.first[doc + 1] - size  # first and last start
         starts = np.unique((at[:, None] - np.arange(width)[None, :]).ravel())
         starts = starts[(starts >= lo) & (starts <= hi)]
         if not len(starts):
             return
         a, b = int(starts[0]), int(starts[-1]) + width
-        weight = np.full(b - a, self.unseen)
-        here = (at >= a) & (at < b)
-        weight[at[here] - a] = self.weights[k][entry[here]]
         span = name[a:b]
+        weight = self.shared.weights(span)
+        here = (at >= a) & (at < b)
         window, item, bits = group.within(simhash(span, weight, starts - a, starts - a + width))
         known = np.zeros(b - a + 1)
         known[1:][at[here] - a] = weight[at[here] - a]
@@ -145,7 +167,25 @@ class Benchmark:
             like = common / (sum(own.values()) + group.total[i] - common)
             key, first = (doc, group.items[i]), s + a - int(lo)
             if like >= threshold - 1e-9 and (key not in best or (-like, first) < (-best[key][0], best[key][2])):
-                best[key] = float(min(1.0, like)), int(d), first, group.size
+                best[key] = float(min(1.0, like)), int(d), first, size
+
+
+def counts(items: DataFrame, total: int) -> Shared:
+    """How many of the items (item_id, text; all different) have each shingle that more than one has."""
+
+    def make():
+        def step(batch):
+            texts = clean(batch.column("text").to_pylist())
+            for a, b in chunks(map(len, texts)):
+                spans = item_shingles(Words(texts[a:b]))
+                if spans:
+                    name, n = np.unique(np.concatenate([np.unique(x) for x in spans.values()]), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(signed(name)), pa.array(n)], names=["name", "n"])
+
+        return step
+
+    rows = arrow_pass(items.select("text"), make, "name long, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").toArrow()
+    return Shared(total, rows.column("name").to_numpy().view(U64), rows.column("n").to_numpy())
 
 
 def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -154,11 +194,12 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     passes = max(1, -(-n // PASS_ITEMS), -(-chars // PASS_CHARS))
+    common = counts(items, n)
     out = None
     for p in range(passes):
         part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
         rows = sorted(part.collect())
-        shared = docs.sparkSession.sparkContext.broadcast(Benchmark([r.item_id for r in rows], [r.text for r in rows]))  # of about PASS_ITEMS items
+        shared = docs.sparkSession.sparkContext.broadcast(Benchmark([r.item_id for r in rows], [r.text for r in rows], common))  # of about PASS_ITEMS items
 
         def make(shared=shared):
             own = shared.value

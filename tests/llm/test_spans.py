@@ -78,6 +78,35 @@ def test_decontamination_finds_planted_items_and_no_others(spark):
     assert kept == {d for d, _ in docs} - {d for d, _ in want}
 
 
+def test_decontamination_of_texts_shorter_than_an_item(spark):
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(59)]
+    items = [(1, " ".join(words)), (2, " ".join(r.choice(words) for _ in range(70))), (3, "one two three")]
+    docs = [(1, words[:58]), (2, words[1:]), (3, words[2:]), (4, words[:40]), (5, words[:2]), (6, words[:4]), (7, ["one", "two"]), (8, words)]
+    df = spark.createDataFrame([(d, " ".join(w)) for d, w in docs], "doc_id long, text string")
+    got = {(x.doc_id, x.item_id): x for x in decontam.find(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert set(got) == {(1, 1), (2, 1), (3, 1), (8, 1)}  # 54, 54, 53 and 55 of 55 shingles
+    assert [round(got[d, 1].similarity * 55) for d in (1, 2, 3, 8)] == [54, 54, 53, 55]
+    assert [(got[d, 1].first_word, got[d, 1].n_words) for d in (1, 2, 3, 8)] == [(0, 58), (0, 58), (0, 57), (0, 59)]
+    assert {x.doc_id for x in decontam.without(df, spark.createDataFrame(items, "item_id long, text string")).collect()} == {4, 5, 6, 7}
+
+
+def test_decontamination_does_not_depend_on_the_passes(spark, monkeypatch):
+    r = random.Random(10)
+    stem = [f"s{i}" for i in range(30)]
+    items = [(i, " ".join(stem[: r.choice([0, 8, 30])] + [f"i{i}x{k}" for k in range(r.choice([6, 12]))])) for i in range(40)]
+    docs = []
+    for d in range(160):
+        w = items[d % 40][1].split()
+        w[-1 if d % 4 else r.randrange(len(w))] = "edited"
+        docs.append((d, " ".join(["before"] * (d % 3) + w)))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: sorted((x.doc_id, x.item_id, round(x.similarity, 9), x.first_word) for x in decontam.find(df, bench).collect())
+    whole = rows()
+    monkeypatch.setattr(decontam, "PASS_ITEMS", 7)
+    assert rows() == whole and len(whole) > 20
+
+
 def test_multi_index_guarantees_the_radius():
     rng = np.random.default_rng(3)
     prints = rng.integers(0, 2**63, 20).astype(np.uint64)
