@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grading, text
 from ..operators import contamination, controls, linkage, normalize
-from .registry import query, read, rounded
+from .registry import ORACLES, query, read, rounded
 
 SHINGLES = r"""
 with bw as (select item_id, text, regexp_extract_all(translate(lower(text), '$\', ''), '[a-z0-9]+') as w from benchmark),
@@ -58,11 +58,11 @@ def shingle_stats(spark, sf_dir):
     return contamination._sets(read(spark, sf_dir, "documents"), "doc_id", "text", 8).select("doc_id", "n_tokens", F.size("set").alias("n_shingles"))
 
 
-def _wide(spark, sf_dir):
+def _wide(spark, sf_dir, trace):
     b, lit = read(spark, sf_dir, "documents"), F.lit(None).cast("string")
     return b.select(
         F.col("doc_id").alias("problem_id"), F.col("lang").alias("question"), F.col("source").alias("answer"), F.col("n_chars").cast("double").alias("difficulty"),
-        lit.alias("supervision_answer_only"), F.when(F.col("doc_id") % 2 == 0, "").alias("supervision_key_points"), F.substring("text", 1, 20).alias("supervision_full_trace"),
+        lit.alias("supervision_answer_only"), F.when(F.col("doc_id") % 2 == 0, "").alias("supervision_key_points"), trace.alias("supervision_full_trace"),
         F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("supervision_gist"), lit.alias("supervision_summary"), lit.alias("supervision_clean_solution"),
     )
 
@@ -71,16 +71,30 @@ def _wide(spark, sf_dir):
   unnest([case when doc_id % 2 = 0 then '' end, substring(text, 1, 20), case when doc_id % 3 = 0 then lang end]) as output from documents)
 select *, question as prompt, output || chr(10) || chr(10) || 'The final answer is \boxed{' || answer || '}.' as target from v where output is not null""")
 def normalize_unpivot(spark, sf_dir):
-    return normalize.rows(_wide(spark, sf_dir))
+    return normalize.rows(_wide(spark, sf_dir, F.substring("text", 1, 20)))
+
+
+@query(ORACLES["normalize_unpivot"].replace("substring(text, 1, 20)", "text"))
+def normalize_unpivot_whole(spark, sf_dir):
+    return normalize.rows(_wide(spark, sf_dir, F.col("text")))
 
 
 @query(r"""select doc_id as problem_id, condition, prompt, question, answer, output, case when coalesce(target, '') = '' then case when condition = 'answer_only' then '' else output || chr(10) || chr(10) end || 'The final answer is \boxed{' || answer || '}.' else target end as target, difficulty
 from (select doc_id, case when doc_id % 2 = 0 then 'answer_only' else 'gist' end as condition, lang as prompt, lang as question, source as answer, substring(text, 1, 10) as output, case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then '' else 'given' end as target, cast(n_chars as double) as difficulty from documents)""")
 def long_layout(spark, sf_dir):
+    return _long(spark, sf_dir, F.substring("text", 1, 10))
+
+
+@query(ORACLES["long_layout"].replace("substring(text, 1, 10)", "text"))
+def long_layout_whole(spark, sf_dir):
+    return _long(spark, sf_dir, F.col("text"))
+
+
+def _long(spark, sf_dir, output):
     third = F.col("doc_id") % 3
     raw = read(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("problem_id"), F.when(F.col("doc_id") % 2 == 0, "answer_only").otherwise("gist").alias("condition"), F.col("lang").alias("question"), F.col("source").alias("answer"),
-        F.substring("text", 1, 10).alias("output"), F.when(third == 1, "").when(third == 2, "given").alias("target"), F.col("n_chars").cast("double").alias("difficulty"),
+        output.alias("output"), F.when(third == 1, "").when(third == 2, "given").alias("target"), F.col("n_chars").cast("double").alias("difficulty"),
     )
     return normalize.rows(raw).select(*normalize.LONG)
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import grading, tensor
 from ..operators import planning, resample, splits
 from .inputs import graded, records, with_tables
-from .registry import query, read, rounded
+from .registry import ORACLES, query, read, rounded
 
 RULES = """case when coalesce(rescued, false) and has_rescued_output then coalesce(rescued_correct, correct) else correct end as estimator,
  coalesce(case when coalesce(rescued, false) then rescued_correct else correct end, false) as split, coalesce(rescued_correct, correct) as value,
@@ -157,6 +157,11 @@ def train_stream(spark, sf_dir):
     return planning.train_stream(read(spark, sf_dir, "documents").where("lang = 'es'"), "doc_id", 5000, seed=39, offset=3)
 
 
+@query(ORACLES["train_stream"].replace(" where lang = 'es'", ""))
+def train_stream_whole(spark, sf_dir):
+    return planning.train_stream(read(spark, sf_dir, "documents"), "doc_id", 5000, seed=39, offset=3)
+
+
 @query("select 'local' as protocol, 1.0::double as temperature, 0.95::double as top_p, 20 as top_k, 1.0::double as repetition_penalty union all select 'official', 1.0, 0.95, -1, 1.0")
 def sampling_profiles(spark, sf_dir):
     return planning.sampling(spark)
@@ -166,7 +171,16 @@ def sampling_profiles(spark, sf_dir):
 p as (select distinct doc_id, unnest(generate_series(lo, hi - 1)) as p from w where lo < hi), g as (select doc_id, p, p - row_number() over (partition by doc_id order by p) as k from p)
 select doc_id, count(*) as n_support, count(distinct k) as n_windows from g group by 1""")
 def loss_windows(spark, sf_dir):
-    docs = read(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 2000).cast("int").alias("n"))
+    return _loss_windows(spark, sf_dir, F.col("n_chars") % 2000)
+
+
+@query(ORACLES["loss_windows"].replace("n_chars % 2000", "n_chars"))
+def loss_windows_whole(spark, sf_dir):
+    return _loss_windows(spark, sf_dir, F.col("n_chars"))
+
+
+def _loss_windows(spark, sf_dir, length):
+    docs = read(spark, sf_dir, "documents").select("doc_id", length.cast("int").alias("n"))
     d = docs.select("doc_id", tensor.loss_windows(F.col("n"), (0.25, 0.5, 0.75), 32).alias("p")).where("size(p) > 0")
     return d.select("doc_id", F.size("p").cast("bigint").alias("n_support"), F.size(tensor.windows_of(F.col("p"))).cast("bigint").alias("n_windows"))
 
@@ -185,7 +199,16 @@ def fork_mask_losses(spark, sf_dir):
 @query("""with t as (select vec_id, list_transform(embedding[1:12], lambda x: cast(floor(abs(x) * 50) as int)) as ids from embeddings), s as (select vec_id, ids, list_min(list_filter([list_position(ids, 3), list_position(ids, 7)], lambda x: x > 0)) as k from t)
 select vec_id, cast(len(case when k is null then ids else ids[1:k] end) as int) as n, case when k is null then 'length' else 'stop' end as reason, cast(len(case when k is null then ids else ids[1:k] end) as int) + case when k is not null and ids[k] <> 3 then 1 else 0 end as n_eos from s""")
 def stop_truncation(spark, sf_dir):
-    ids = F.transform(F.slice("embedding", 1, 12), lambda x: F.floor(F.abs(x) * 50).cast("int"))
+    return _stop_truncation(spark, sf_dir, F.slice("embedding", 1, 12))
+
+
+@query(ORACLES["stop_truncation"].replace("embedding[1:12]", "embedding"))
+def stop_truncation_whole(spark, sf_dir):
+    return _stop_truncation(spark, sf_dir, F.col("embedding"))
+
+
+def _stop_truncation(spark, sf_dir, values):
+    ids = F.transform(values, lambda x: F.floor(F.abs(x) * 50).cast("int"))
     df = read(spark, sf_dir, "embeddings").select("vec_id", ids.alias("ids"))
     cut, reason = tensor.until_stop(F.col("ids"), (3, 7))
     df = df.select("vec_id", cut.alias("cut"), reason.alias("reason"))
