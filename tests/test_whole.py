@@ -2,6 +2,7 @@
 
 import pytest
 
+from rollmeter import constants as K
 from rollmeter.catalog import QUERIES
 
 TEXTS = ["a" * 15, "b" * 30, "word " * 800]
@@ -37,3 +38,9 @@ def test_stops_late_in_an_array(spark, made):
 def test_stream_of_the_whole_table(spark, made):
     rows = QUERIES["train_stream_whole"](spark, made).collect()
     assert len(rows) == 5000 and {r.doc_id for r in rows[:3]} == {0, 1, 2} and max(r.epoch for r in rows) == 1666
+
+
+def test_auroc_of_all_replicates(spark, sf):
+    (row,) = QUERIES["boot_auroc_full"](spark, sf).collect()
+    assert 9_900 < row.n_replicates <= K.BOOT_REPLICATES == 10_000  # those of one class only have no AUROC
+    assert row.ci_lo < row.auroc < row.ci_hi
