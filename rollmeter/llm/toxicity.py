@@ -2,8 +2,8 @@
 
 Terms are words and word beginnings; each counts again for every band of its
 rate and count in a text that it reaches, so that "often" and "once" are
-different terms.  The vocabulary holds the banded terms that toxic examples
-have far more often than others; document frequencies are counted over the
+different terms.  The vocabulary holds all banded terms that LEAST_TEXTS toxic
+examples have and that these have LIFT times as often as others; document frequencies are counted over the
 whole corpus.  Examples are TF-IDF vectors in a block-max inverted index: for
 each term the largest weight in each block of examples.  A query visits blocks
 in the order of their upper bounds and stops when no bound exceeds its k-th
@@ -28,11 +28,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import arrow_pass, written
-from .textcore import U64, NameSet, Words, chunks, clean, mix, seeds, signed
+from .textcore import U64, NameSet, Words, chunks, clean, mix, ranges, seeds, signed
 
 TOXIC_EXAMPLES, OTHER_EXAMPLES = 4000, 8000  # bounds of the labelled sample, about, by a hash of the id
-VOCABULARY = 4096
-LEAST_SHARE, LEAST_TEXTS, LIFT = 0.01, 4, 3.0  # a term: toxic texts that have it, and how much more often than others
+LEAST_TEXTS, LIFT = 4, 3.0  # a term: toxic texts that have it, and how much more often than others
 RATES = (0.0, 1 / 256, 1 / 128, 1 / 64)
 BANDS = 2 * len(RATES)
 PREFIXES = range(3, 9)
@@ -96,19 +95,26 @@ class Index:
     first: np.ndarray
     feature: np.ndarray
     value: np.ndarray
-    most: np.ndarray = field(init=False)
+    at: np.ndarray = field(init=False)  # where the blocks of a feature begin
+    block: np.ndarray = field(init=False)
+    most: np.ndarray = field(init=False)  # the largest weight of a feature in a block that has it
 
     def __post_init__(self):
         n = len(self.ids)
-        self.blocks = -(-n // BLOCK)
-        self.most = np.zeros((len(self.idf), max(1, self.blocks)), np.float32)
-        own = np.repeat(np.arange(n), np.diff(self.first))
-        np.maximum.at(self.most, (self.feature, own // BLOCK), self.value.astype(np.float32))
-        self.most = np.nextafter(self.most, np.float32(2))  # rounding never lowers a bound
+        self.blocks = max(1, -(-n // BLOCK))
+        key = self.feature * self.blocks + np.repeat(np.arange(n), np.diff(self.first)) // BLOCK
+        order = np.argsort(key, kind="stable")
+        key, start = np.unique(key[order], return_index=True)
+        most = np.maximum.reduceat(self.value[order], start).astype(np.float32)
+        self.most = np.nextafter(most, np.float32(2))  # rounding never lowers a bound
+        self.block = (key % self.blocks).astype(np.int32)
+        self.at = np.searchsorted(key, np.arange(len(self.idf) + 1) * self.blocks)
 
     def nearest(self, feature: np.ndarray, value: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, example numbers) of the k nearest examples that share a feature; `without` is left out."""
-        bound = value @ self.most[feature].astype(np.float64)
+        count = self.at[feature + 1] - self.at[feature]
+        of = ranges(self.at[feature], count)
+        bound = np.bincount(self.block[of], np.repeat(value, count) * self.most[of], self.blocks)
         order = np.argsort(-bound, kind="stable")
         order = order[: int(np.count_nonzero(bound > 0))]
         dense = np.zeros(len(self.idf))
@@ -194,7 +200,6 @@ def _select(sample: DataFrame) -> Vocabulary | None:
     sizes = {r.toxic: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if not sizes.get(1) or not sizes.get(0):
         return None
-    least = max(LEAST_TEXTS, int(LEAST_SHARE * sizes[1]))
 
     def all_terms():
         def step(batch):
@@ -207,9 +212,9 @@ def _select(sample: DataFrame) -> Vocabulary | None:
 
         return step
 
-    seen = arrow_pass(sample.where("toxic = 1").select("text"), all_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    seen = arrow_pass(sample.where("toxic = 1").select("text"), all_terms, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
     terms = np.array([r.term for r in seen.select("term").collect()], np.int64).view(U64)
-    known = sample.sparkSession.sparkContext.broadcast(NameSet(terms))  # terms of at most TOXIC_EXAMPLES texts, in a hundredth of them each
+    known = sample.sparkSession.sparkContext.broadcast(NameSet(terms))  # terms of at most about TOXIC_EXAMPLES texts
 
     def bands():
         own = known.value
@@ -227,11 +232,10 @@ def _select(sample: DataFrame) -> Vocabulary | None:
         F.sum(F.when(F.col("key") % 2 == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("key") % 2 == 0, F.col("n")).otherwise(0)).alias("other")
     )
     lift = (F.col("toxic") / sizes[1]) / ((F.col("other") + 0.5) / (sizes[0] + 1))
-    gain = F.col("toxic") * F.log(lift)
-    rows = n.where((F.col("toxic") >= least) & (lift >= LIFT)).select("key", gain.alias("gain")).orderBy(F.desc("gain"), "key").limit(VOCABULARY).collect()
+    rows = n.where((F.col("toxic") >= LEAST_TEXTS) & (lift >= LIFT)).select("key").collect()
     if not rows:
         return None
-    key = np.array([r.key for r in rows])
+    key = np.sort(np.array([r.key for r in rows]))
     return Vocabulary(known.value.names[key // BANDS], key % BANDS)
 
 
@@ -244,7 +248,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column) -> Model:
     prior = rates.get(1, 0.0) / max(1.0, sum(rates.values()))
     if vocabulary is None:
         return Model(None, None, prior, prior)
-    shared = spark.sparkContext.broadcast(vocabulary)  # VOCABULARY terms at most
+    shared = spark.sparkContext.broadcast(vocabulary)  # terms of the sample
 
     def frequencies():
         own = shared.value
@@ -312,7 +316,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     names = [f.name for f in kept]
     evidence = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType())]))
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", evidence)])
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by VOCABULARY and the bounds of the sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the bounds of the sample
     kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
 
     def make():

@@ -112,3 +112,13 @@ def test_quality_shrinks_sparse_sites(spark):
 def test_quality_without_labels(spark, n):
     df = spark.createDataFrame([(i, "a", "en", "h") for i in range(n)], "doc_id long, text string, lang string, source string")
     assert quality.score(df, spark.createDataFrame([], "doc_id long, quality int"), F.lit(True)).count() == n
+
+
+def test_a_toxic_word_of_few_of_many_examples_is_a_term(spark):
+    plain = lambda i: f"the day {i % 7} was long and mild here"
+    rows = [(i, plain(i) + (f" {zlib.crc32(str(i // 5).encode()):08x}" if i < 800 else "")) for i in range(1600)]  # a word has 5 of 800 toxic texts
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i < 800)) for i, _ in rows], "doc_id long, toxic int")
+    model = toxicity.train(docs, lab, F.col("doc_id") % 10 != 3)
+    got = {r.doc_id: r for r in toxicity.score(docs.where("doc_id % 10 = 3"), model).collect()}
+    assert model.vocabulary.size > 300  # by words and beginnings that only few texts have
+    assert all(r.predicted == int(i < 800) and bool(r.evidence) == (i < 800) for i, r in got.items())
