@@ -14,12 +14,15 @@ content as it is; of repeated identifiers in a conversation the first in
 without a call is an `orphan`, one not after its call is `early`; a call
 without a result is `open`; calls in a cycle have depth -1; unknown tools are
 valid if their arguments are an object.  Rows repeated in full are kept.  No
-conversation is gathered in one task: order is given by sort keys.
+conversation is gathered in one task: order is given by sort keys.  A null
+conv_id is a conversation, a null turn a turn that is not after any other.
+Depths take a round for each call of the longest chain of references.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 from json import dumps
 
 from pyspark.sql import Column, DataFrame
@@ -30,7 +33,7 @@ from .frames import written
 CALL = "struct<id:string,name:string,arguments:string,function:struct<name:string,arguments:string>>"
 MESSAGE = f"struct<content:string,tool_call_id:string,tool_calls:array<{CALL}>>"
 REFERENCE = r"\$\{([^}]+)\}"
-DEPTH = 64  # rounds; longer chains of references are reported as cycles
+ROUNDS = 8  # after which the depths found are written as one table
 
 # JSON schema types, by how a variant's type begins.
 TYPES = {
@@ -82,26 +85,36 @@ def valid(name: Column, arguments: Column, schemas: dict[str, dict]) -> Column:
     return F.coalesce(good, F.lit(False))
 
 
+def joined(left: DataFrame, right: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """A join in which null keys are equal."""
+    other = right.withColumnsRenamed({k: f"_{k}" for k in keys})
+    out = left.join(other, reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys)), how)
+    if how == "full":
+        out = out.withColumns({k: F.coalesce(k, f"_{k}") for k in keys})
+    return out.drop(*(f"_{k}" for k in keys))
+
+
 def depths(calls: DataFrame) -> DataFrame:
     """(conv_id, id, depth): 0 without known references, else one more than the deepest call referred to; -1 in or behind a cycle."""
     keys = ["conv_id", "id"]
     refs = calls.select(*keys, F.explode(F.array_distinct(F.regexp_extract_all("arguments", F.lit(REFERENCE), F.lit(1)))).alias("to"))
     known = calls.select("conv_id", F.col("id").alias("to"))
-    refs = written(refs.join(known, ["conv_id", "to"], "left_semi"))
+    refs = written(joined(refs, known, ["conv_id", "to"], "left_semi"))
     if refs.isEmpty():
         return calls.select(*keys, F.lit(0).alias("depth"))
-    done = written(calls.select(*keys).join(refs, keys, "left_anti").withColumn("depth", F.lit(0)))
-    for _ in range(DEPTH):
-        left = refs.join(done, keys, "left_anti")
-        if left.isEmpty():
-            break
-        at = left.join(done.select("conv_id", F.col("id").alias("to"), "depth"), ["conv_id", "to"], "left")
+    done = written(joined(calls.select(*keys), refs, keys, "left_anti").withColumn("depth", F.lit(0)))
+    for k in count(1):
+        left = joined(refs, done, keys, "left_anti")
+        if k % ROUNDS == 0:
+            refs, done = written(left), written(done)
+            left = refs
+        at = joined(left, done.select("conv_id", F.col("id").alias("to"), "depth"), ["conv_id", "to"], "left")
         new = at.groupBy(*keys).agg(F.max("depth").alias("depth"), F.count_if(F.col("depth").isNull()).alias("open")).where("open = 0").select(*keys, (F.col("depth") + 1).alias("depth"))
         new = written(new)
         if new.isEmpty():
             break
         done = done.union(new)
-    return calls.select(*keys).join(done, keys, "left").withColumn("depth", F.coalesce("depth", F.lit(-1)))
+    return joined(calls.select(*keys), done, keys, "left").withColumn("depth", F.coalesce("depth", F.lit(-1)))
 
 
 def format_messages(conversations: DataFrame, schemas: dict[str, dict] | None = None) -> DataFrame:
@@ -121,13 +134,15 @@ def format_messages(conversations: DataFrame, schemas: dict[str, dict] | None =
     called = called.select("conv_id", "turn", "msg", "place", F.col("call.id").alias("id"), F.coalesce("call.name", "call.function.name").alias("name"), F.coalesce("call.arguments", "call.function.arguments", F.lit("{}")).alias("arguments")).dropDuplicates(["conv_id", "turn", "msg", "place"])
     called = written(called)
     if called.isEmpty():
-        linked = m.withColumn("own", F.lit(None).cast("array<struct<depth:int,place:int,id:string,name:string,arguments:string,valid:boolean,repeated:boolean,answered:boolean>>")).withColumn("call_turn", F.lit(None).cast("long")).withColumn("again", F.lit(False))
+        linked = m.withColumn("own", F.lit(None).cast("array<struct<depth:int,place:int,id:string,name:string,arguments:string,valid:boolean,repeated:boolean,answered:boolean>>")).withColumn("call_turn", F.lit(None).cast("long")).withColumn("call_msg", F.lit(None).cast("long")).withColumn("again", F.lit(False))
         return _serialised(linked)
     first = called.where("id is not null").groupBy("conv_id", "id").agg(F.min(F.struct("turn", "msg", "place", "arguments")).alias("f")).select("conv_id", "id", "f.*")
     answers = m.where("result_of is not null").groupBy("conv_id", F.col("result_of").alias("id")).agg(F.min(F.struct("turn", "msg")).alias("r")).select("conv_id", "id", F.col("r.turn").alias("answer_turn"), F.col("r.msg").alias("answer_msg"))
-    pairs = written(first.withColumnsRenamed({"turn": "call_turn", "msg": "call_msg", "place": "call_place"}).join(answers, ["conv_id", "id"], "full").join(depths(first), ["conv_id", "id"], "left"))
-    at = called.join(pairs.drop("arguments"), ["conv_id", "id"], "left")
-    is_first = (F.col("msg") == F.col("call_msg")) & (F.col("turn") == F.col("call_turn")) & (F.col("place") == F.col("call_place"))
+    pairs = joined(first.withColumnsRenamed({"turn": "call_turn", "msg": "call_msg", "place": "call_place"}), answers, ["conv_id", "id"], "full")
+    pairs = written(joined(pairs, depths(first), ["conv_id", "id"], "left"))
+    at = joined(called, pairs.drop("arguments"), ["conv_id", "id"], "left")
+    same = F.col("turn").eqNullSafe(F.col("call_turn")) & (F.col("msg") == F.col("call_msg")) & (F.col("place") == F.col("call_place"))
+    is_first = F.when(F.col("call_msg").isNotNull(), same)
     own = at.groupBy("conv_id", "turn", "msg").agg(
         F.array_sort(
             F.collect_list(
@@ -139,17 +154,17 @@ def format_messages(conversations: DataFrame, schemas: dict[str, dict] | None =
             )
         ).alias("own")
     )
-    replies = pairs.where("answer_turn is not null").select("conv_id", F.col("id").alias("result_of"), "call_turn", "answer_turn", "answer_msg")
-    linked = m.join(own, ["conv_id", "turn", "msg"], "left").join(replies, ["conv_id", "result_of"], "left")
-    linked = linked.withColumn("again", F.coalesce((F.col("answer_turn") != F.col("turn")) | (F.col("answer_msg") != F.col("msg")), F.lit(False)))
+    replies = pairs.where("answer_msg is not null").select("conv_id", F.col("id").alias("result_of"), "call_turn", "call_msg", "answer_turn", "answer_msg")
+    linked = joined(joined(m, own, ["conv_id", "turn", "msg"], "left"), replies, ["conv_id", "result_of"], "left")
+    linked = linked.withColumn("again", F.coalesce(~F.col("answer_turn").eqNullSafe(F.col("turn")) & F.col("answer_msg").isNotNull() | (F.col("answer_msg") != F.col("msg")), F.lit(False)))
     return _serialised(linked)
 
 
 def _serialised(m: DataFrame) -> DataFrame:
     result = F.col("result_of").isNotNull()
-    late = F.col("call_turn").isNotNull() & (F.col("turn") > F.col("call_turn"))
+    late = F.coalesce(F.col("turn") > F.col("call_turn"), F.lit(False))
     status = (
-        F.when(result & F.col("again"), "repeated").when(result & F.col("call_turn").isNull(), "orphan").when(result & ~late, "early").when(result, "linked")
+        F.when(result & F.col("again"), "repeated").when(result & F.col("call_msg").isNull(), "orphan").when(result & ~late, "early").when(result, "linked")
         .when(F.col("own").isNull(), "plain").when(F.exists("own", lambda c: ~c["answered"]), "open").otherwise("answered")
     )
     moved = result & late & ~F.col("again")

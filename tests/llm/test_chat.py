@@ -36,3 +36,21 @@ def test_cycle_and_empty(spark):
     got = chat.format_messages(rows(spark, [(1, 1, "assistant", call, None)])).collect()
     assert got[0].n_calls == 2
     assert chat.format_messages(rows(spark, [])).count() == 0
+
+
+def test_long_chains_are_no_cycles(spark):
+    chain = [{"id": f"c{i}", "name": "t", "arguments": {"x": f"${{c{i - 1}}}" if i else "1"}} for i in range(70)]
+    call = json.dumps({"tool_calls": chain[::-1]})
+    (got,) = chat.format_messages(rows(spark, [(1, 1, "assistant", call, None)])).collect()
+    assert [c["id"] for c in json.loads(got.json)["tool_calls"]] == [f"c{i}" for i in range(70)]
+
+
+def test_null_conversations_and_turns_keep_their_calls(spark):
+    call = json.dumps({"tool_calls": [{"id": "b", "name": "t", "arguments": {"x": "${a}"}}, {"id": "a", "name": "t", "arguments": {}}]})
+    data = [(None, 1, "assistant", call, None), (None, 2, "tool", '{"tool_call_id":"a","content":"2"}', None), (3, None, "assistant", call, None), (3, 2, "tool", '{"tool_call_id":"b","content":"2"}', None), (4, 1, "tool", '{"tool_call_id":"a"}', None)]
+    got = {(r.conv_id, r.turn): r for r in chat.format_messages(rows(spark, data)).collect()}
+    assert len(got) == len(data)
+    for k in ((None, 1), (3, None)):
+        assert (got[k].n_calls, got[k].status) == (2, "open") and [c["id"] for c in json.loads(got[k].json)["tool_calls"]] == ["a", "b"]
+    assert (got[None, 1].n_open, got[3, None].n_open) == (1, 2)
+    assert [got[k].status for k in ((None, 2), (3, 2), (4, 1))] == ["linked", "early", "orphan"]
