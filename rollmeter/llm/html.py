@@ -11,7 +11,8 @@ links.  Elements that are no article text by name (navigation, forms, scripts,
 
 Defined results: null, empty and tag-free html give their text or nothing;
 repeated rows give equal texts; a tag or comment cut off by the end of the
-page is dropped; character references are decoded once; white space within a
+page is dropped; svg and math that end in "/>" are empty; of svg, math, template
+and noscript without an end tag only the tag is dropped; character references are decoded once; white space within a
 block becomes one space; blocks follow each other in page order.  Html is
 never cut.
 """
@@ -36,6 +37,7 @@ SMOOTH = 0.3  # share of the parent's ratios
 # Element names of the HTML standard, by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template svg math noembed noframes xmp".split())
+MARKUP = frozenset("svg math template noscript".split())  # of RAW: no raw text in HTML, so that an end tag may be missing
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead tr ul".split()
 )
@@ -166,8 +168,12 @@ def read(html: str) -> tuple[dict[tuple, Path], list[tuple[tuple, str]]]:
         if tag in VOID:
             continue
         if tag in RAW:
+            if tag in ("svg", "math") and m[3].endswith("/"):
+                continue
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(html, at)
             if end is None:
+                if tag in MARKUP:
+                    continue
                 break
             at = html.find(">", end.start())
             at = n if at < 0 else at + 1

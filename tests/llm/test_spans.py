@@ -159,3 +159,12 @@ def test_html_cases():
     )
     assert html.main_text(page) == "Head line\nA long paragraph, with text; more of it, yes. <b> &amp;\nAnother one, quite long, too. Fine.\nThird one, here it is."
     assert [html.main_text(x) for x in (None, "", "<p", "<!-- a", "just text.")] == ["", "", "", "", "just text."]
+
+
+def test_html_goes_on_behind_empty_and_unclosed_markup():
+    body = "<p>First one, here it is.</p>{}<p>Second one, here it is.</p>{}<p>Third one, here it is.</p>"
+    want = "First one, here it is.\nSecond one, here it is.\nThird one, here it is."
+    page = lambda *x: html.main_text("<html><body><article>" + body.format(*x) + "</article></body></html>")
+    for a, b in (('<svg width="1"/>', "<math/>"), ('<svg class="i" />', "<svg><text>no</text></svg>"), ("<svg>", ""), ("<math>", ""), ("<template>", ""), ("<noscript>", ""), ("<svg/>", "<svg>no</svg>")):
+        assert page(a, b) == want
+    assert page("<script>", "") == "First one, here it is."
