@@ -3,6 +3,8 @@
 Two tiers.  A whole pre-token that is an entry of the vocabulary is resolved
 by a minimal perfect hash, for a whole batch at a time.  The others, once
 each, are merged by a heap of adjacent pairs over a linked list of bytes.
+Hashes only propose: every pre-token is compared, code point by code point,
+with the entry found for it, and one that differs is merged by itself.
 
 Defined results: a null text is encoded as the empty text, which has no ids;
 repeated rows are encoded alike; no text is cut.  A text that holds lone
@@ -25,7 +27,7 @@ from pyspark.sql import types as T
 from .frames import arrow_pass
 from .textcore import BREAK, LETTER, SPACE, U64, Codes, char_classes, chunks, clean, mix, ranges, seeds
 
-CACHE_PRETOKENS = 1 << 20  # per Python worker; only a cache, it is emptied when full
+CACHE_PRETOKENS, CACHE_CHARS = 1 << 20, 1 << 24  # per Python worker; only a cache, it is emptied when full
 _APOSTROPHE, _BLANK = 0x27, 0x20
 
 
@@ -174,14 +176,43 @@ class ByteBPE:
         names = codes.names(codes.starts, codes.ends)
         self.hash = PerfectHash(names)
         slot = self.hash.index(names)
-        self.slot_name, self.slot_id = np.zeros(len(names), U64), np.zeros(len(names), np.int32)
-        self.slot_name[slot], self.slot_id[slot] = names, ids
+        self.slot_name, order = np.zeros(len(names), U64), np.argsort(slot)
+        self.slot_name[slot] = names
+        self._words = codes.cp[ranges(codes.starts[order], codes.lens[order])], codes.lens[order], np.array(ids, np.int32)[order]
         self._forget()
 
     def _forget(self) -> None:
+        """Entries are whole words of the vocabulary, in the order of their slots; then pre-tokens met."""
+        cp, size, ids = self._words
         self.known = _Slots()
-        self.pool, self.pool_at = _Grown(np.int32), _Grown(np.int64)
-        self.pool_at.add([0])
+        self.cp, self.cp_at, self.pool, self.pool_at = _Grown(np.uint32), _Grown(np.int64), _Grown(np.int32), _Grown(np.int64)
+        self.cp.add(cp)
+        self.cp_at.add(np.concatenate(([0], np.cumsum(size))))
+        self.pool.add(ids)
+        self.pool_at.add(np.arange(len(ids) + 1))
+
+    def _enter(self, codes: Codes, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """The numbers of new entries for these spans."""
+        ids, stops, n = [], [], self.pool.n
+        for i, j in zip(start.tolist(), end.tolist()):
+            ids += self.merge(codes.text[i:j].encode("utf-8", "surrogatepass"))
+            stops.append(n + len(ids))
+        number = self.pool_at.n - 1 + np.arange(len(start))
+        self.pool.add(ids)
+        self.pool_at.add(stops)
+        self.cp_at.add(self.cp.n + np.cumsum(end - start))
+        self.cp.add(codes.cp[ranges(start, end - start)])
+        return number
+
+    def _differ(self, codes: Codes, start: np.ndarray, end: np.ndarray, entry: np.ndarray) -> np.ndarray:
+        """The spans that are not, code point by code point, the entries found for them."""
+        at, size = self.cp_at.values(), end - start
+        bad = at[entry + 1] - at[entry] != size
+        same = np.flatnonzero(~bad)
+        n = size[same]
+        unlike = np.flatnonzero(codes.cp[ranges(start[same], n)] != self.cp.values()[ranges(at[entry[same]], n)])
+        bad[same[np.searchsorted(np.cumsum(n), unlike, "right")]] = True
+        return np.flatnonzero(bad)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the pair of lowest rank is merged first, the leftmost of equal ones.
@@ -224,36 +255,27 @@ class ByteBPE:
         """(start, end, n ids) of each pre-token and the ids of all, in order."""
         start, end = pretokens(codes)
         names = codes.names(start, end)
-        slot = self.hash.index(names)
-        whole = (slot >= 0) & (self.slot_name[slot] == names)
-        count = np.ones(len(start), np.int64)
-        missed = np.flatnonzero(~whole)
-        if not len(missed):
-            return start, end, count, self.slot_id[slot]
-        one, where, back = np.unique(names[missed], return_index=True, return_inverse=True)
-        one |= U64(one == 0)
-        at = self.known.find(one)
-        new = np.flatnonzero(at < 0)
-        if self.known.n + len(new) > CACHE_PRETOKENS and self.known.n or self.pool_at.n > 2 * CACHE_PRETOKENS:
-            self._forget()
-            at, new = np.full(len(one), -1, np.int64), np.arange(len(one))
-        at[new] = self.pool_at.n - 1 + np.arange(len(new))
-        if len(one) <= CACHE_PRETOKENS:
-            self.known.add(one[new], at[new])
-        ids, stops, text, n = [], [], codes.text, self.pool.n
-        for i, j in zip(start[missed[where[new]]].tolist(), end[missed[where[new]]].tolist()):
-            ids += self.merge(text[i:j].encode("utf-8", "surrogatepass"))
-            stops.append(n + len(ids))
-        self.pool.add(ids)
-        self.pool_at.add(stops)
-        pool, pool_at = self.pool.values(), self.pool_at.values()
-        first, size = pool_at[at][back], (pool_at[at + 1] - pool_at[at])[back]
-        count[missed] = size
-        ids = np.empty(int(count.sum()), np.int32)
-        to = np.cumsum(count) - count
-        ids[to[whole]] = self.slot_id[slot[whole]]
-        ids[ranges(to[missed], size)] = pool[ranges(first, size)]
-        return start, end, count, ids
+        entry = self.hash.index(names)
+        missed = np.flatnonzero((entry < 0) | (self.slot_name[entry] != names)) if len(self.slot_name) else np.arange(len(names))
+        if len(missed):
+            one, where, back = np.unique(names[missed], return_index=True, return_inverse=True)
+            one |= U64(one == 0)
+            at = self.known.find(one)
+            new = np.flatnonzero(at < 0)
+            if self.known.n and self.known.n + len(new) > CACHE_PRETOKENS or self.pool_at.n > 2 * CACHE_PRETOKENS or self.cp.n > CACHE_CHARS:
+                self._forget()
+                at, new = np.full(len(one), -1, np.int64), np.arange(len(one))
+            spans = missed[where[new]]
+            at[new] = self._enter(codes, start[spans], end[spans])
+            if len(one) <= CACHE_PRETOKENS:
+                self.known.add(one[new], at[new])
+            entry[missed] = at[back]
+        bad = self._differ(codes, start, end, entry)
+        if len(bad):
+            entry[bad] = self._enter(codes, start[bad], end[bad])
+        at = self.pool_at.values()
+        count = at[entry + 1] - at[entry]
+        return start, end, count, self.pool.values()[ranges(at[entry], count)]
 
     def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(n ids of each text, all ids)."""

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import partitions
-from .textcore import U64, Codes, _powers, char_values, chunks, mix, seeds
+from .textcore import _GOLD, U64, Codes, char_values, chunks, mix, seeds
 
 LEVELS = 5
 SLOTS = 16
@@ -76,10 +76,12 @@ def level_up(x: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The names of the phrases of the symbols x, and each text's first phrase."""
     x, first = collapse(x, first)
     at = landmarks(x, first)
-    power, inverse = _powers(len(x) + 1)
-    total = np.zeros(len(x) + 1, U64)
-    np.cumsum(x * power[:-1], out=total[1:])
-    name = mix((total[np.append(at[1:], len(x))] - total[at]) * inverse[at])
+    size = np.diff(np.append(at, len(x)))
+    name, open_, step = mix(size.astype(U64) * _GOLD), np.arange(len(at)), 0
+    while len(open_):  # a phrase has a few symbols: its labels rise and fall once
+        name[open_] = mix(name[open_] ^ x[at[open_] + step])
+        step += 1
+        open_ = open_[size[open_] > step]
     return name, np.searchsorted(at, first)
 
 

@@ -5,11 +5,14 @@ names are then computed with whole-array arithmetic, so the cost per character
 is a few nanoseconds and nothing is done per word in Python.
 
 Names are 64-bit hashes.  A span's name depends on its content alone: not on
-its offset, its batch or its executor.
+its offset, its batch or its executor.  Each step of a name goes through a
+bijective finalizer, so no sums or powers can cancel, as they do for some
+texts in polynomial hashes modulo 2^64; long spans are named by a digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -20,8 +23,9 @@ LETTER, NUMBER, SPACE, BREAK = 1, 2, 3, 4
 SHINGLE_WORDS = 5
 CHUNK_CHARS = 300_000
 _GOLD = U64(0x9E3779B97F4A7C15)
-_BASE = 0xD1342543DE82EF95
-_POW: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
+_PACK = 3  # code points of 21 bits in a word
+_MASKS = np.array([(1 << 21 * k) - 1 for k in range(_PACK + 1)], U64)
+_LONG = 60  # code points from which a span is named by a digest
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -70,17 +74,6 @@ def lower_table() -> np.ndarray:
     return table
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POW[0]) < n:
-        size = max(n, CHUNK_CHARS * 3 // 2)
-        inverse = pow(_BASE, -1, 1 << 64)
-        for k, base in enumerate((_BASE, inverse)):
-            steps = np.full(size, base, U64)
-            steps[0] = 1
-            _POW[k] = np.multiply.accumulate(steps)
-    return _POW[0][:n], _POW[1][:n]
-
-
 def clean(texts: Iterable[str | None]) -> list[str]:
     return [t or "" for t in texts]
 
@@ -109,15 +102,24 @@ class Codes:
         self.lens = np.fromiter(map(len, texts), np.int64, self.n)
         self.ends = np.cumsum(self.lens + 1) - 1
         self.starts = self.ends - self.lens
-        self._sums: np.ndarray | None = None
+        self._packed: np.ndarray | None = None
 
     def names(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The 64-bit names of spans [start, end)."""
-        power, inverse = _powers(len(self.cp) + 1)
-        if self._sums is None:
-            self._sums = np.zeros(len(self.cp) + 1, U64)
-            np.cumsum(char_values()[self.cp] * power[:-1], out=self._sums[1:])
-        return mix((self._sums[end] - self._sums[start]) * inverse[start])
+        if self._packed is None:
+            cp = np.concatenate((self.cp, np.zeros(_PACK, np.uint32))).astype(U64)
+            self._packed = cp[:-2] | cp[1:-1] << U64(21) | cp[2:] << U64(42)
+        size = end - start
+        out = mix(size.astype(U64) * _GOLD + U64(77))
+        open_, step = np.flatnonzero((size > 0) & (size < _LONG)), 0
+        while len(open_):
+            left = size[open_] - step
+            word = self._packed[start[open_] + step] & _MASKS[np.minimum(left, _PACK)]
+            out[open_] = mix(out[open_] ^ word)
+            open_, step = open_[left > _PACK], step + _PACK
+        for i in np.flatnonzero(size >= _LONG).tolist():
+            out[i] = int.from_bytes(hashlib.blake2b(self.cp[start[i] : end[i]], digest_size=8).digest(), "little")
+        return out
 
 
 class Words:

@@ -95,3 +95,10 @@ def test_components_of_chains_and_stars(spark):
 def test_overlaps():
     a = [np.array([1, 2, 3], np.uint64), np.array([], np.uint64)]
     assert nearjoin.overlaps(a, [np.array([3, 2, 9], np.uint64)]).tolist() == [[2], [0]]
+
+
+def test_texts_whose_power_sums_cancel_are_no_copies(spark):
+    one = "".join("ab"[i.bit_count() % 2] for i in range(2048))
+    rows = [(1, one), (2, one.translate(str.maketrans("ab", "ba"))), (3, one)]
+    got = nearjoin.near_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.n_links) for r in got) == [(1, 1, 1), (2, 2, 0), (3, 1, 1)]
