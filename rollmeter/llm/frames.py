@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -16,13 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def arrow_pass(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
-    """Each Arrow batch through the function that `make` builds once a task.
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of at most 1000 rows and 8 MB (a longer row is a batch), for this session's passes.
 
-    Batches are small, so that long texts and two Python workers fit beside an executor's heap.
+    Long texts and two Python workers then fit beside an executor's heap.  The
+    settings are read when a plan runs, so they stay; lower ones are kept.
     """
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", 1000), ("spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20)):
+        now = spark.conf.get(key)
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
+def arrow_pass(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
+    """Each Arrow batch through the function that `make` builds once a task."""
+    bounded_batches(df.sparkSession)
 
     def run(batches):
         step = make()
@@ -39,11 +48,13 @@ _OWN: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """A fresh path below the folder that driver and executors share (spark.checkpoint.dir).
 
-    Only where the session names none, as in local tests, a temporary folder
-    of this process takes its place.
+    Only on a local master, where driver and executors are one process, may
+    the session name none; a temporary folder then takes its place.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if "base" not in _OWN:
             import tempfile
 

@@ -30,7 +30,7 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, rest = table(spark, sf_dir, "documents"), crc_mod(F.col("doc_id"), 5)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"), rest != 0)
     scored = toxicity.score(docs.select("doc_id", "text", (rest == 0).alias("held_out")), model)
-    return scored.select("doc_id", "held_out", "score", "predicted", F.size("evidence").alias("n_evidence"))
+    return scored.select("doc_id", "held_out", "score", "predicted", F.col("evidence.doc_id").alias("evidence_ids"), F.col("evidence.cosine").alias("evidence_cosines"))
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

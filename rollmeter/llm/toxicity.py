@@ -3,22 +3,26 @@
 Terms are words and word beginnings; each counts again for every band of its
 rate and count in a text that it reaches, so that "often" and "once" are
 different terms.  The vocabulary holds all banded terms that LEAST_TEXTS toxic
-examples have and that these have LIFT times as often as others; document frequencies are counted over the
-whole corpus.  Examples are TF-IDF vectors in a block-max inverted index: for
-each term the largest weight in each block of examples.  A query visits blocks
-in the order of their upper bounds and stops when no bound exceeds its k-th
-best cosine, so the k nearest are exact.  Votes weighted by the squared cosine
-are calibrated by a logistic map fitted on left-one-out votes.
+examples have and that these have LIFT times as often as others; document
+frequencies are counted over the whole corpus.  Examples are TF-IDF vectors in
+a block-max inverted index: a term's postings are cut at blocks of examples,
+each piece with its largest weight.  A query visits blocks in the order of
+their upper bounds, reads only its own terms' postings there, and stops when
+no bound reaches its k-th best cosine, so the k nearest are exact.  Votes
+weighted by the squared cosine are calibrated by a logistic map fitted on
+left-one-out votes.
 
 Defined results: null and empty texts, and texts without a vocabulary term,
-have no neighbours and get the rate of such examples; of equal cosines at the
-k-th place those met first count, in index order, which is fixed by a hash of
-the example; repeated rows get equal scores; without both labels in the
-training rows every score is the rate of label 1.  Texts are never cut.
+have no neighbours and get the rate of such examples; of equal cosines (to
+twelve decimals) those of the least example number count, and examples are
+numbered by a hash of their id; repeated rows get equal scores; without both
+labels in the training rows every score is the rate of label 1, which without
+any label is 0; an empty table gives an empty one.  Texts are never cut.
 """
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import arrow_pass, written
-from .textcore import U64, NameSet, Words, chunks, clean, mix, ranges, seeds, signed
+from .textcore import U64, NameSet, Words, chunks, clean, distinct, mix, ranges, seeds, signed
 
 TOXIC_EXAMPLES, OTHER_EXAMPLES = 4000, 8000  # bounds of the labelled sample, about, by a hash of the id
 LEAST_TEXTS, LIFT = 4, 3.0  # a term: toxic texts that have it, and how much more often than others
@@ -37,6 +41,8 @@ BANDS = 2 * len(RATES)
 PREFIXES = range(3, 9)
 NEIGHBOURS = 16
 BLOCK = 32
+CACHED = 4096  # results of a worker's last different vectors, about a KB each
+_EQUAL = 1e-11
 
 
 def base_terms(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -86,49 +92,55 @@ class Vocabulary:
 
 @dataclass
 class Index:
-    """Labelled examples: a forward index in blocks, and the largest weight of each feature in each block."""
+    """Labelled examples: postings by feature and example, cut at blocks of examples, with each piece's largest weight."""
 
     idf: np.ndarray
     ids: np.ndarray
     votes: np.ndarray  # 1 if toxic
     weight: np.ndarray  # what an example stands for, as the two classes are sampled at their own rates
-    first: np.ndarray
-    feature: np.ndarray
-    value: np.ndarray
-    at: np.ndarray = field(init=False)  # where the blocks of a feature begin
+    posted: tuple[np.ndarray, np.ndarray, np.ndarray]  # feature, example, value of each posting, by feature and example
+    at: np.ndarray = field(init=False)  # where the pieces of a feature begin
     block: np.ndarray = field(init=False)
-    most: np.ndarray = field(init=False)  # the largest weight of a feature in a block that has it
+    first: np.ndarray = field(init=False)  # where the postings of a piece begin
+    most: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        n = len(self.ids)
-        self.blocks = max(1, -(-n // BLOCK))
-        key = self.feature * self.blocks + np.repeat(np.arange(n), np.diff(self.first)) // BLOCK
-        order = np.argsort(key, kind="stable")
-        key, start = np.unique(key[order], return_index=True)
-        most = np.maximum.reduceat(self.value[order], start).astype(np.float32)
+        feature, example, value = self.posted
+        self.blocks = max(1, -(-len(self.ids) // BLOCK))
+        key, start = np.unique(feature.astype(np.int64) * self.blocks + example // BLOCK, return_index=True)
+        most = np.maximum.reduceat(value, start).astype(np.float32) if len(key) else np.zeros(0, np.float32)
         self.most = np.nextafter(most, np.float32(2))  # rounding never lowers a bound
         self.block = (key % self.blocks).astype(np.int32)
+        self.first = np.append(start, len(value))
         self.at = np.searchsorted(key, np.arange(len(self.idf) + 1) * self.blocks)
+        self.posted = example.astype(np.int32), value
 
     def nearest(self, feature: np.ndarray, value: np.ndarray, k: int = NEIGHBOURS, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(cosines, example numbers) of the k nearest examples that share a feature; `without` is left out."""
+        example, weight = self.posted
         count = self.at[feature + 1] - self.at[feature]
-        of = ranges(self.at[feature], count)
-        bound = np.bincount(self.block[of], np.repeat(value, count) * self.most[of], self.blocks)
-        order = np.argsort(-bound, kind="stable")
-        order = order[: int(np.count_nonzero(bound > 0))]
-        dense = np.zeros(len(self.idf))
-        dense[feature] = value
-        best, who, n, step, at = np.zeros(0), np.zeros(0, np.int64), len(self.ids), 2, 0
-        while at < len(order) and (len(best) < k or bound[order[at]] > best[-1] - 1e-12):
-            for b in order[at : at + step]:
-                lo, hi = b * BLOCK, min(n, (b + 1) * BLOCK)
-                x, y = self.first[lo], self.first[hi]
-                got = np.add.reduceat(self.value[x:y] * dense[self.feature[x:y]], self.first[lo:hi] - x)
-                keep = (got > 0) & (np.arange(lo, hi) != without)
-                best, who = np.concatenate((best, got[keep])), np.concatenate((who, np.arange(lo, hi)[keep]))
-            top = np.argsort(-np.round(best, 12), kind="stable")[:k]
-            best, who, at, step = best[top], who[top], at + step, min(16, step * 2)
+        piece, own = ranges(self.at[feature], count), np.repeat(value, count)
+        bound = np.bincount(self.block[piece], own * self.most[piece], self.blocks)
+        order = np.argsort(-bound, kind="stable")[: int(np.count_nonzero(bound > 0))]
+        turn = np.empty(self.blocks, np.int64)  # of a block in the order of the bounds
+        turn[order] = np.arange(len(order))
+        by_turn = np.argsort(turn[self.block[piece]], kind="stable")
+        piece, own = piece[by_turn], own[by_turn]
+        begin = np.searchsorted(turn[self.block[piece]], np.arange(len(order) + 1))
+        best, who, at, step = np.zeros(0), np.zeros(0, np.int64), 0, 2
+        while at < len(order) and (len(best) < k or bound[order[at]] > best[-1] - _EQUAL):
+            stop = min(len(order), at + step)
+            p, w = piece[begin[at] : begin[stop]], own[begin[at] : begin[stop]]
+            n = self.first[p + 1] - self.first[p]
+            post = ranges(self.first[p], n)
+            place = (turn[example[post] // BLOCK] - at) * BLOCK + example[post] % BLOCK
+            got = np.bincount(place, np.repeat(w, n) * weight[post], (stop - at) * BLOCK)
+            found = np.flatnonzero(got > 0)
+            number = order[at + found // BLOCK] * BLOCK + found % BLOCK
+            keep = number != without
+            best, who = np.concatenate((best, got[found[keep]])), np.concatenate((who, number[keep]))
+            top = np.lexsort((who, -np.round(best, 12)))[:k]
+            best, who, at, step = best[top], who[top], stop, min(64, step * 2)
         return np.minimum(best, 1.0), who
 
     def vote(self, cosines: np.ndarray, who: np.ndarray, prior: float) -> float:
@@ -151,9 +163,10 @@ class Model:
         v = min(max(vote, 1e-6), 1 - 1e-6)
         return float(1 / (1 + np.exp(-(self.slope * np.log(v / (1 - v)) + self.shift))))
 
-    def score(self, texts: list[str], cache: dict | None = None) -> tuple[np.ndarray, list[list[tuple[int, float]]]]:
-        """(scores, evidence): evidence lists the nearest examples' ids and cosines."""
-        score, evidence, cache = np.full(len(texts), self.alone), [[] for _ in texts], {} if cache is None else cache
+    def score(self, texts: list[str], cache: dict | None = None) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """(scores, evidence): evidence is the nearest examples' ids and cosines."""
+        none = np.zeros(0, np.int64), np.zeros(0)
+        score, evidence, cache = np.full(len(texts), self.alone), [none] * len(texts), {} if cache is None else cache
         if self.index is None or not len(self.index.ids):
             return score, evidence
         doc, feature, tf = self.vocabulary.vectors(texts)
@@ -161,10 +174,12 @@ class Model:
         edge = np.flatnonzero(np.diff(doc, prepend=-1, append=-1))
         for a, b in zip(edge, edge[1:]):
             v = value[a:b] / np.sqrt((value[a:b] ** 2).sum())
-            key = (feature[a:b].tobytes(), np.round(v, 12).tobytes())
+            key = hashlib.blake2b(feature[a:b].tobytes() + value[a:b].tobytes(), digest_size=16).digest()
             if key not in cache:
+                if len(cache) >= CACHED:
+                    cache.clear()
                 cosines, who = self.index.nearest(feature[a:b], v)
-                cache[key] = self.calibrated(self.index.vote(cosines, who, self.prior)), list(zip(self.index.ids[who].tolist(), cosines.tolist()))
+                cache[key] = self.calibrated(self.index.vote(cosines, who, self.prior)), (self.index.ids[who], cosines)
             score[doc[a]], evidence[doc[a]] = cache[key]
         return score, evidence
 
@@ -204,10 +219,8 @@ def _select(sample: DataFrame) -> Vocabulary | None:
     def all_terms():
         def step(batch):
             texts = clean(batch.column("text").to_pylist())
-            for a, b in chunks(map(len, texts), 2_000_000):
-                name, doc = base_terms(Words(texts[a:b]))
-                name = np.unique(np.stack((name, doc.astype(U64))), axis=1)[0] if len(name) else name
-                term, n = np.unique(name, return_counts=True)
+            for a, b in chunks(map(len, texts)):
+                term, n = np.unique(distinct(*base_terms(Words(texts[a:b])), b - a)[0], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(term)), pa.array(n)], names=["term", "n"])
 
         return step
@@ -221,7 +234,7 @@ def _select(sample: DataFrame) -> Vocabulary | None:
 
         def step(batch):
             texts, toxic = clean(batch.column("text").to_pylist()), np.array(batch.column("toxic").to_pylist())
-            for a, b in chunks(map(len, texts), 2_000_000):
+            for a, b in chunks(map(len, texts)):
                 doc, term, band, _ = banded(Words(texts[a:b]), own)
                 key, n = np.unique((term * BANDS + band) * 2 + toxic[a:b][doc], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["key", "n"])
@@ -301,10 +314,10 @@ def _indexed(vocabulary, idf, rows, stands, prior) -> Model:
     alone = (bare[1] + 0.5 * prior) / (bare[0] + bare[1] + 0.5)
     if not some:
         return Model(vocabulary, None, prior, alone)
-    index = Index(
-        idf, np.array([x[2] for x in some]), np.array([x[5] for x in some], float), np.array([stands[x[5]] for x in some]),
-        np.concatenate(([0], np.cumsum([len(x[3]) for x in some]))), np.concatenate([x[3] for x in some]), np.concatenate([x[4] for x in some]),
-    )
+    feature, example = np.concatenate([x[3] for x in some]), np.repeat(np.arange(len(some)), [len(x[3]) for x in some])
+    order = np.argsort(feature, kind="stable")
+    posted = feature[order], example[order], np.concatenate([x[4] for x in some])[order]
+    index = Index(idf, np.array([x[2] for x in some]), np.array([x[5] for x in some], float), np.array([stands[x[5]] for x in some]), posted)
     votes = np.array([index.vote(*index.nearest(x[3], x[4], without=i), prior) for i, x in enumerate(some)])
     v = np.clip(votes, 1e-6, 1 - 1e-6)
     return Model(vocabulary, index, prior, alone, *platt(np.log(v / (1 - v)), index.votes, index.weight / index.weight.mean()))
@@ -317,7 +330,6 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     evidence = T.ArrayType(T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cosine", T.DoubleType())]))
     schema = T.StructType([*kept, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType()), T.StructField("evidence", evidence)])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the bounds of the sample
-    kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
 
     def make():
         own, cache = shared.value, {}
@@ -325,12 +337,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         def step(batch):
             texts = clean(batch.column("text").to_pylist())
             for a, b in chunks(map(len, texts)):
-                if len(cache) > 20_000:
-                    cache.clear()
                 got, why = own.score(texts[a:b], cache)
-                part = batch.slice(a, b - a)
-                why = pa.array([[{"doc_id": i, "cosine": c} for i, c in x] for x in why], kind)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(got), pa.array((got >= 0.5).astype(np.int32)), why], names=[*names, "score", "predicted", "evidence"])
+                at = np.concatenate(([0], np.cumsum([len(x) for x, _ in why]))).astype(np.int32)
+                fields = [pa.array(np.concatenate(x), t) for x, t in zip(zip(*why), (pa.int64(), pa.float64()))]
+                why = pa.ListArray.from_arrays(pa.array(at), pa.StructArray.from_arrays(fields, ["doc_id", "cosine"]))
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(got), pa.array((got >= 0.5).astype(np.int32)), why], names=[*names, "score", "predicted", "evidence"])
 
         return step
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollmeter.llm import langid, quality, toxicity
 from rollmeter.llm.frames import crc_mod
+from rollmeter.llm.textcore import Words
 
 
 def test_forward_backward_equals_the_plain_recursion():
@@ -69,7 +70,8 @@ def test_nearest_examples_are_exact():
     x = x[x.any(1)]
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     own, feature = np.nonzero(x)
-    index = toxicity.Index(np.ones(v), np.arange(len(x)), np.zeros(len(x)), np.ones(len(x)), np.append(np.searchsorted(own, np.arange(len(x))), len(own)), feature, x[own, feature])
+    order = np.argsort(feature, kind="stable")
+    index = toxicity.Index(np.ones(v), np.arange(len(x)), np.zeros(len(x)), np.ones(len(x)), (feature[order], own[order], x[own, feature][order]))
     for q in x[:60]:
         f = np.flatnonzero(q)
         got, who = index.nearest(f, q[f], 10)
@@ -77,6 +79,95 @@ def test_nearest_examples_are_exact():
         assert np.allclose(got, want[want > 0][:10]) and np.allclose(x[who] @ q, got)
 
 
+def test_ties_at_the_kth_place_go_to_the_least_number():
+    rng = np.random.default_rng(2)
+    kinds = rng.random((6, 5)) * (rng.random((6, 5)) < 0.6) + np.eye(6, 5)
+    x = kinds[rng.integers(0, 6, 400)]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    feature, own = np.nonzero(x.T)
+    index = toxicity.Index(np.ones(5), np.arange(400), np.zeros(400), np.ones(400), (feature, own, x[own, feature]))
+    for i in range(0, 400, 7):
+        f = np.flatnonzero(x[i])
+        _, who = index.nearest(f, x[i][f], 16, without=i)
+        cos = x @ x[i]
+        cos[i] = -1
+        assert who.tolist() == np.lexsort((np.arange(400), -np.round(cos, 12)))[:16].tolist()
+
+
+def plain_scores(model, docs, labels, learn):
+    """The scores by dictionaries and a full comparison with all examples; terms and calibration are the model's."""
+    import regex
+
+    words = lambda t: regex.findall(r"[\p{L}\p{N}]+", (t or "").lower())
+    known = {int(n): i for i, n in enumerate(model.vocabulary.known.names)}
+
+    def features(t):
+        w = words(t)
+        spelled = list(w) + [(k, x[:k]) for x in w for k in toxicity.PREFIXES if len(x) > k]
+        if not w:
+            return {}
+        name, _ = toxicity.base_terms(Words([" ".join(w)]))  # the words first, then their beginnings by length
+        order = list(w) + [(k, x[:k]) for k in toxicity.PREFIXES for x in w if len(x) > k]
+        assert len(order) == len(spelled) == len(name)
+        count, number = {}, dict(zip(order, name.tolist()))
+        for x in spelled:
+            count[x] = count.get(x, 0) + 1
+        out = {}
+        for x, c in count.items():
+            if number[x] in known:
+                for b in range(toxicity.BANDS):
+                    f = int(model.vocabulary.number[known[number[x]], b])
+                    if f >= 0 and c / len(w) >= toxicity.RATES[b // 2] and c >= 1 + b % 2:
+                        out[f] = 1 + np.log(c)
+        return out
+
+    every = [features(t) for _, t in docs]
+    df = {}
+    for x in every:
+        for f in x:
+            df[f] = df.get(f, 0) + 1
+
+    def vector(x):
+        v = {f: t * (np.log((1 + len(docs)) / (1 + df[f])) + 1) for f, t in x.items()}
+        norm = np.sqrt(sum(y * y for y in v.values()))
+        return {f: y / norm for f, y in v.items()}
+
+    vectors = [vector(x) if x else {} for x in every]
+    at = {d: i for i, (d, _) in enumerate(docs)}
+    votes = dict(labels)
+    rank = {int(d): k for k, d in enumerate(model.index.ids)}
+    assert set(rank) == {d for d in votes if learn(d) and vectors[at[d]]}
+    out = []
+    for v in vectors:
+        if not v:
+            out.append((model.alone, []))
+            continue
+        cos = sorted((-round(c, 12), rank[d], d, c) for d in rank if (c := sum(x * vectors[at[d]].get(f, 0) for f, x in v.items())) > 0)[: toxicity.NEIGHBOURS]
+        w = np.array([c * c for *_, c in cos])
+        y = np.array([votes[d] for _, _, d, _ in cos])
+        vote = (w @ y + 0.25 * model.prior) / (w.sum() + 0.25)  # all labels are examples here, so each stands for one
+        out.append((model.calibrated(vote), [d for _, _, d, _ in cos]))
+    return out
+
+
+def test_scores_equal_a_full_comparison(spark):
+    rows, labels = examples(240)
+    rows += [(1000 + i, t) for i, (_, t) in enumerate(rows[:20])] + [(2000, ""), (2001, None), (2002, "awful nasty vile " * 30)]
+    docs, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.train(docs, lab, crc_mod(F.col("doc_id"), 5) != 0)
+    want = plain_scores(model, rows, labels, lambda d: zlib.crc32(str(d).encode()) % 5 != 0)
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    for (d, _), (score, near) in zip(rows, want):
+        assert np.isclose(got[d].score, score) and [e.doc_id for e in got[d].evidence] == near
+
+
+def test_toxicity_of_empty_tables(spark):
+    docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    lab = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), lab, F.lit(True))).count() == 0
+    assert toxicity.score(docs, toxicity.train(docs, lab.limit(0), F.lit(True))).first().score == 0.0
+
+
 def test_toxicity_learns_and_handles_odd_rows(spark):
     rows, labels = examples(400)
     docs = spark.createDataFrame([(i, t, 9) for i, t in rows] + [(1000, None, 1), (1001, "", 1), (5, rows[5][1], 1)], "doc_id long, text string, score long")
