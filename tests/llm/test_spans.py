@@ -1,5 +1,6 @@
 import hashlib
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -176,3 +177,105 @@ def test_fingerprints_of_texts_whose_power_sums_cancel():
     root, sketch = fingerprint.sketches([one, other, one])
     assert root[0] == root[2] != root[1]
     assert fingerprint.text_of(root, sketch)[0] == fingerprint.text_of(root, sketch)[2]
+
+
+def test_html_quotes_only_behind_equals_signs():
+    assert html.main_text("<body><p title=it's>One, two. Three here.</p><p>They don't mind, it's fine.</p>") == "One, two. Three here.\nThey don't mind, it's fine."
+    assert html.main_text("<body><p title='a > b' x=\"</p>\" y>One, two. Three here.</p>") == "One, two. Three here."
+    assert html.main_text("<body><p it's>One, two. Three here.</p>") == "One, two. Three here."
+    assert html.main_text("<body><!--><p>One, two. Three here.</p><!-- <p>no</p> --></ ><p>Four, five. Six.</p>") == "One, two. Three here.\nFour, five. Six."
+
+
+def test_html_of_many_open_tags_takes_seconds():
+    n = 100_000
+    began = time.time()
+    for page in ("<div>" * n, "<div>" * n + "</p>" * n, "<p>" + "<b>x" * n, "<p><table>" + "<div>y" * n, "<svg>" * n, "<a href=\"" * n, "<p a=" * n, "<" * n, "<div class=x>t" * n):
+        html.main_text(page)
+    assert time.time() - began < 60
+
+
+def brute_main_text(tree):
+    """The definition on a tree of (name, class or "", [child or text]) with tuples of all ancestors as paths; no dead elements, no links."""
+    paths, blocks = {}, []
+
+    def walk(node, above):
+        name, mark, inner = node
+        path = (*above, f"{name}.{mark}" if mark else name)
+        at = paths.setdefault(path, [0, 0, 0])
+        at[2] += 1
+        for x in inner:
+            if isinstance(x, str):
+                at[0], at[1] = at[0] + len(x), at[1] + sum(c in ".,;:!?" for c in x)
+                blocks.append((path, x))
+            else:
+                walk(x, path)
+
+    walk(tree, ())
+    texts = {p: v for p, v in paths.items() if v[0]}
+    score = {}
+    for p, (length, points, tags) in texts.items():
+        a, b, weight, up = length / tags, points / tags, html.SMOOTH, p[:-1]
+        while True:
+            beside = [v for q, v in texts.items() if q != p and (q[:-1] == up and q or q == up)]
+            if beside or not up:
+                break
+            up, weight = up[:-1], weight * html.DECAY
+        if beside:
+            n = sum(v[2] for v in beside)
+            a, b = (1 - weight) * a + weight * sum(v[0] for v in beside) / n, (1 - weight) * b + weight * sum(v[1] for v in beside) / n
+        score[p] = (a * (b + 0.25)) ** 0.5
+    if not score:
+        return ""
+    mass, total = 0, sum(v[0] for v in texts.values())
+    for p in sorted(score, key=score.get):
+        mass += texts[p][0]
+        if mass >= total / 2:
+            typical = score[p]
+            break
+    good = {p for p in score if score[p] >= html.SHARE * typical}
+    held = {p: sum(score[q] * texts[q][0] for q in good if q[: len(p)] == p) for p in paths}
+    named = [p for p in paths if p[-1].split(".")[0] in ("article", "main") and held[p]]
+    if not named:
+        return None  # the deepest container with most of the content, tested apart
+    home = max((p for p in named if held[p] >= 0.8 * max(held[q] for q in named)), key=len)
+    return "\n".join(x for p, x in blocks if p in good and p[: len(home)] == home)
+
+
+def test_html_equals_the_table_of_paths():
+    r, dropped = random.Random(3), 0
+
+    def node(depth, name):
+        inner = []
+        for _ in range(r.randint(1, 4)):
+            if depth and r.random() < 0.6:
+                inner.append(node(depth - 1, r.choice(["div", "section", "blockquote", "ul"])))
+            else:
+                inner.append(("p", r.choice(["", "a", "b"]), [" ".join(r.choice(["one", "two,", "three.", "x"]) for _ in range(r.choice([1, 1, 2, 30, 200])))]))
+        return name, r.choice(["", "k"]), inner
+
+    def text(n):
+        return f"<{n[0]}" + (f" class={n[1]}" if n[1] else "") + ">" + "".join(x if isinstance(x, str) else text(x) for x in n[2]) + f"</{n[0]}>"
+
+    for _ in range(300):
+        tree = ("body", "", [("div", "", [node(3, "article")]), node(2, "div")])
+        want = brute_main_text(tree)
+        if want is None:
+            continue
+        assert html.main_text(text(tree)) == want
+        dropped += any(x not in want for x in regex.findall(r">([^<]+)<", text(tree)[: text(tree).index("</article>")]))
+    assert dropped > 10  # texts of an article that are below the threshold
+
+
+def test_html_a_short_path_of_low_score_is_dropped():
+    long = "<p>A long paragraph, with text; more of it, yes, and then some more of it. So it goes on, line by line.</p>" * 4
+    deep = "<div>" * 7 + "<span>Tap</span>" + "</div>" * 7
+    got = html.main_text(f"<body><div class=text><h1>Head line</h1>{long}<ul><li>Short</li></ul>{deep}</div><div class=more><div>Buy now</div></div></body>")
+    assert got.startswith("Head line\nA long") and got.endswith("line.\nShort") and "Tap" not in got and "Buy" not in got
+
+
+def test_html_frames(spark):
+    rows = [(1, "u", "<p>a, b. c</p>", "x", 7), (1, "u", "<p>a, b. c</p>", "x", 7), (2, None, None, None, None), (None, "v", "", "", 0), (3, "w", "<p>" + "word, and. " * 200_000, "x", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars long")
+    got = html.extract(df).collect()
+    assert sorted((r.page_id or 0, r.n_chars) for r in got) == [(0, 0), (1, 7), (1, 7), (2, 0), (3, 2_199_999)]
+    assert all(r.text == "" for r in got if not r.n_chars) and html.extract(df.limit(0)).count() == 0
