@@ -11,26 +11,27 @@ by a MinHash sketch of the phrase names of each level.
 Defined results: null and empty texts have the fingerprint of no phrases and
 are like one another; equal texts have equal fingerprints; rows are ordered by
 doc_id (null first), then text, so repeated rows follow each other; the only
-row is its own next.  Texts are never cut.
+row is its own next; an empty table gives an empty one; columns other than
+doc_id and text are not used.  Texts are never cut.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .frames import partitions
+from .frames import bounded_batches, partitions
 from .textcore import _GOLD, U64, Codes, char_values, chunks, mix, seeds
 
 LEVELS = 5
 SLOTS = 16
 WEIGHTS = (0.25, 1.0, 1.0, 1.0, 0.5)  # of the levels' likeness
 _TOSSES = 3  # after the first toss, of 64-bit names
-BUCKETS = 4  # ranges of ids for each shuffle partition
 _LEAST = -(1 << 63)
 
 
@@ -127,33 +128,48 @@ def edited(text: str, after: str) -> str:
     return text[: len(text) - half] + after[:half]
 
 
+def _bounds(rows: DataFrame, n: int) -> list[int]:
+    """Ids that cut the rows into at most n ranges of about equal size."""
+    cuts = [i / n for i in range(1, n)]
+    return sorted(set(rows.agg(F.percentile_approx("id", cuts, max(10_000, 4 * n))).first()[0] or [])) if cuts else []
+
+
+def _below(bounds: list[int], value: Column) -> Column:
+    """How many of the ascending bounds are below the value, by binary search in one literal array."""
+    if not bounds:
+        return F.lit(0)
+    every = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
+    steps = F.array(*(F.lit(1 << k) for k in reversed(range(len(bounds).bit_length()))))
+    return F.aggregate(steps, F.lit(0), lambda at, s: at + F.when((at + s <= len(bounds)) & (F.try_element_at(every, at + s) < value), s).otherwise(0))
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """(bucket, ahead, id, doc_id, text) in buckets of neighbouring ids; `ahead` rows stand for what follows a bucket's last.
+    """(bucket, ahead, doc_id, text) in buckets of neighbouring ids; `ahead` rows stand for what follows a bucket's last.
 
-    One shuffle of the texts; the buckets' bounds are id quantiles.
+    One shuffle of the texts: a bucket is a range of ids between quantiles and
+    a partition of its own.
     """
-    spark = docs.sparkSession
-    n = partitions(spark)
+    n = partitions(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("id", F.coalesce("doc_id", F.lit(_LEAST)))
-    cuts = [i / (BUCKETS * n) for i in range(1, BUCKETS * n)]
-    bounds = sorted(set(rows.select("id").agg(F.percentile_approx("id", cuts, 10_000)).first()[0] or []))
-    bucket = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b < F.col("id"))) if bounds else F.lit(0)
-    rows = rows.withColumn("bucket", bucket.cast("long"))
+    rows = rows.withColumn("bucket", _below(_bounds(rows.select("id"), n), F.col("id")))
     heads = sorted((r.bucket, r.head) for r in rows.groupBy("bucket").agg(F.min("id").alias("head")).collect())  # a row for each bucket
-    if not heads:
-        return rows.select("bucket", F.lit(0).alias("ahead"), "id", "doc_id", "text")
-    to = F.create_map(*[x for (b, head), (before, _) in zip(heads, heads[-1:] + heads[:-1]) for x in (F.lit(head), F.lit(before))])
-    own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("ahead"))
-    more = F.struct(to[F.col("id")].alias("bucket"), F.lit(1).alias("ahead"))
-    places = F.when(F.col("id").isin([h for _, h in heads]), F.array(own, more)).otherwise(F.array(own))
+    before = {head: b for (b, _), (_, head) in zip(heads[-1:] + heads[:-1], heads)}
+    own = F.struct("bucket", F.lit(0).alias("ahead"))
+    places = F.array(own)
+    if heads:
+        to = F.from_json(F.lit(json.dumps(before)), "map<string,int>")
+        more = F.struct(to[F.col("id").cast("string")].alias("bucket"), F.lit(1).alias("ahead"))
+        places = F.when(F.col("id").isin(list(before)), F.array(own, more)).otherwise(places)
     dealt = rows.select(F.explode(places).alias("place"), "id", "doc_id", "text").select("place.*", "id", "doc_id", "text")
-    return dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "ahead", "id", "text")
+    return dealt.repartitionById(n, "bucket").sortWithinPartitions("bucket", "ahead", "id", "text")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """For each row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next."""
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
+    bounded_batches(docs.sparkSession)
+
     def judged(ids, texts):
         """texts has one more: what follows the last."""
         k = len(ids)

@@ -5,6 +5,7 @@ import time
 import numpy as np
 import public_tokenizers
 import regex
+from pyspark.sql import functions as F
 
 from rollmeter.llm import bpe, decontam, fingerprint, html, tokencount
 
@@ -37,6 +38,13 @@ def test_fingerprints_of_repeated_rows_and_one_row(spark):
     assert fingerprint.fingerprints(df.limit(0)).count() == 0
 
 
+def test_ids_are_dealt_by_binary_search(spark):
+    bounds = [-5, 0, 3, 3 + 2**40, 2**62]
+    df = spark.createDataFrame([(i,) for i in [-9, -5, -4, 0, 1, 3, 4, 2**41, 2**62, 2**63 - 1]], "id long")
+    assert [r[0] for r in df.select(fingerprint._below(bounds, F.col("id"))).collect()] == [sum(b < r.id for b in bounds) for r in df.collect()]
+    assert df.select(fingerprint._below([], F.col("id")).alias("n")).first().n == 0
+
+
 def test_phrases_do_not_depend_on_the_offset():
     r = random.Random(1)
     t = "".join(r.choice("abcdefgh ") for _ in range(4000))
