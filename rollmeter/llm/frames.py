@@ -80,6 +80,22 @@ def small(df: DataFrame, limit: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= limit else df
 
 
+HOT_KEYS = 10_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: str, weight: str) -> DataFrame:
+    """left joined to right (a written table, a row a key), whose column `weight` is the number of a key's rows in left.
+
+    Keys of more than 1 in HOT_KEYS of all rows, of which there can be no more
+    than HOT_KEYS, are joined by broadcast, so that no task meets all rows of
+    a hot key; the rest is shuffled.  `left` is read twice.
+    """
+    total = right.agg(F.sum(weight)).first()[0] or 0
+    hot = right.where(F.col(weight) > total / HOT_KEYS)
+    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(right.where(F.col(weight) <= total / HOT_KEYS), on)
+    return left.join(F.broadcast(hot), on).unionByName(rest)
+
+
 def _forget_at_exit(spark: SparkSession, path: str) -> None:
     """The tables of this module are scratch: removed when the driver ends."""
     import atexit

@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .frames import written
+from .frames import hot_join, written
 
 ROUNDS = 60
 
 
 def _nearest(pairs: DataFrame) -> DataFrame:
-    """pairs (u, v) with m, the least of u and its neighbours; the hot u of a star is summed up before the shuffle."""
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return pairs.join(least, "u")
+    """pairs (u, v; a written table) with m, the least of u and its neighbours; a hot u of a star is summed up and joined without a shuffle."""
+    least = written(pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n"))
+    return hot_join(pairs, least, "u", "n").drop("n")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,7 +27,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     state = None
     for _ in range(ROUNDS):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _nearest(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = written(_nearest(both).where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
         small = _nearest(large)
         e = written(small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()

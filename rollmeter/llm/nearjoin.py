@@ -1,40 +1,51 @@
 """N-gram Jaccard self-join by a MinHash LSH forest.
 
 Texts are sets of five-word shingles.  Equal sets form a copy class, and only
-classes go on.  A forest of prefix tries over MinHash signatures proposes
-neighbours: starting from whole prefixes, the matched prefix is shortened
-until a pair at the threshold is met with the target recall.  A trie node's
-classes are grouped around leaders by their signatures, which gives few edges
-for many near copies; the components of these edges hold every possible link.
-Within a component all pairs are verified on the shingle sets themselves, in
-blocks of bounded size, so a large group is spread over many tasks and its
-pairs are counted, never written out.
+classes go on.  A forest has TREES prefix tries over signatures of DEPTH
+MinHash values.  Classes that share the shortest prefix any of them needs meet
+in one place, and are sorted there by the rest of their signatures, so that
+every longer prefix is a run of neighbours.  Matching starts from whole
+prefixes, which are shortened value by value: a class takes part down to the
+length at which the least similarity that a link of a set of its size can have
+is met with the target recall, and no further once it is represented by an
+almost equal class.  Classes that meet are grouped around leaders by their
+signatures, which gives few edges for many near copies; the components of
+these edges hold every possible link.  A large node is cut into parts, and
+every two parts meet in a task of their own.  Within a component all pairs are
+verified on the shingle sets themselves, in blocks of bounded size, so a large
+group is spread over many tasks and its pairs are counted, never written out.
 
 Defined results: null and empty texts, and texts without a word, are copies of
 one another and linked to nothing else; a text of one to four words is one
 shingle; repeated rows are copies; ties cannot occur, as a pair at exactly the
-threshold is a link.  Columns of documents other than doc_id and text are not
-used.  Texts are never cut.
+threshold is a link; a null doc_id sorts first, so it names its classes; an
+empty table gives an empty one.  Columns of documents other than doc_id and
+text are not used.  Texts are never cut.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .frames import arrow_pass, partitions, small, written
+from .frames import arrow_pass, bounded_batches, hot_join, partitions, small, written
 from .graph import components
 from .textcore import U64, Words, chunks, clean, distinct, mix, seeds, shingles, signed
 
 THRESHOLD, RECALL = 0.8, 0.9999
 TREES, DEPTH = 20, 6
-NODE_CLASSES = 20_000  # of a trie node, grouped in one task; a larger node is dealt out and its leaders meet again
+NODE_CLASSES = 2048  # of a part of a trie node; every two parts of a larger node meet in a task
+SMALL_NODE = 64  # classes that are compared at the shortest prefix at once
 BLOCK_CLASSES, BLOCK_SHINGLES = 256, 300_000
 SAME_LEADER, NEAR_LEADER = 0.9, 0.45  # estimated likeness to a leader: of its group; connected to it
+SALTS = 8  # into which the classes of a node are dealt while they are joined
+SAME_CLASS = 0.97  # estimated likeness to a leader that represents a class at shorter prefixes
 
 
 def depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES, longest: int = DEPTH) -> int:
@@ -45,6 +56,28 @@ def depth(threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TRE
     return d
 
 
+@lru_cache(4096)
+def least_link(n: int, threshold: float = THRESHOLD) -> float | None:
+    """The least similarity at the threshold or above that a set of n names can have with a different set; None without any."""
+    found = None
+    for m in range(max(1, int(threshold * n)), int(n / threshold) + 2):
+        c = min(n, m, max(0, int(np.ceil(threshold * (n + m) / (1 + threshold) - 1e-9))))
+        s = c / (n + m - c)
+        if s >= threshold - 1e-9 and not n == m == c:
+            found = min(s, found or 1.0)
+    return found
+
+
+def needed(sizes: np.ndarray, threshold: float, recall: float) -> np.ndarray:
+    """For sets of these sizes, the shortest prefix a link has to be looked for with; 0 where there can be no link."""
+    every = depth(threshold, recall)
+    out = np.full(len(sizes), every)
+    for n in np.unique(sizes[sizes < 128]).tolist():
+        s = least_link(n, threshold)
+        out[sizes == n] = depth(s, recall) if s else 0
+    return out
+
+
 @dataclass
 class Sets:
     """Shingle sets of some texts: names in ascending order, each text's first index, keys of the sets."""
@@ -80,8 +113,9 @@ class Sets:
         return out
 
 
-def _signed_rows(docs: DataFrame, d: int) -> DataFrame:
-    """doc_id, key, n, nodes (a 64-bit name of each tree's prefix), sig (a byte of each MinHash value)."""
+def _signed_rows(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """doc_id, key, n, nodes (a 64-bit name of each tree's shortest prefix), sig (a byte of each MinHash value)."""
+    d = depth(threshold, recall)
 
     def make():
         factor = seeds(d, 61)
@@ -90,11 +124,12 @@ def _signed_rows(docs: DataFrame, d: int) -> DataFrame:
             texts, ids = clean(batch.column("text").to_pylist()), batch.column("doc_id")
             for a, b in chunks(map(len, texts), 600_000):
                 sets = Sets.of(texts[a:b])
-                low = sets.minima(TREES * d).reshape(-1, TREES, d)
-                nodes = mix((low * factor).sum(2, dtype=U64) + np.arange(TREES, dtype=U64) * U64(0x9E3779B97F4A7C15))
+                low = sets.minima(TREES * DEPTH).reshape(-1, TREES, DEPTH)
+                nodes = mix((low[:, :, :d] * factor).sum(2, dtype=U64) + np.arange(TREES, dtype=U64) * U64(0x9E3779B97F4A7C15))
                 sig = (mix(low.reshape(len(low), -1)) & U64(255)).astype(np.uint8)
-                at = pa.array(np.concatenate(([0], np.cumsum(np.where(sets.sizes > 0, TREES, 0)))).astype(np.int32))
-                lists = pa.ListArray.from_arrays(at, pa.array(signed(nodes[sets.sizes > 0].ravel())))
+                some = needed(sets.sizes, threshold, recall) > 0
+                at = pa.array(np.concatenate(([0], np.cumsum(np.where(some, TREES, 0)))).astype(np.int32))
+                lists = pa.ListArray.from_arrays(at, pa.array(signed(nodes[some].ravel())))
                 arrays = [ids.slice(a, b - a), pa.array(sets.keys(), pa.binary()), pa.array(sets.sizes), lists, pa.array([x.tobytes() for x in sig], pa.binary())]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "key", "n", "nodes", "sig"])
 
@@ -108,8 +143,8 @@ def likeness(sig: np.ndarray, one: np.ndarray) -> np.ndarray:
     return ((sig == one).mean(1) - 1 / 256) * (256 / 255)
 
 
-def leaders(sig: np.ndarray) -> list[tuple[int, np.ndarray]]:
-    """(leader, those near it that no earlier leader has joined to it) until each is in the group of a leader.
+def leaders(sig: np.ndarray, same: float = SAME_LEADER) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(leader, those near it that no earlier leader has joined to it, its group) until each is in the group of a leader.
 
     The distance is a metric: of two sets at the threshold one is in a
     leader's group (0.1) and so the other is within 0.3 of that leader.  Only
@@ -124,11 +159,40 @@ def leaders(sig: np.ndarray) -> list[tuple[int, np.ndarray]]:
         new = near[at][group[near[at]] != group[one]]
         if len(new):
             group[np.isin(group, group[new])] = group[one]
-        out.append((one, new))
-        left = left[1:][like[1:] < SAME_LEADER]
+        out.append((one, new, left[1:][like[1:] >= same]))
+        left = left[1:][like[1:] < same]
     return out
 
 
+def matched(sig: np.ndarray, tree: int, need: np.ndarray, shortest: int) -> list[tuple[int, int]]:
+    """Edges (leader, class) of the classes of one trie node, all below one shortest prefix.
+
+    Prefixes longer than the shortest are runs of classes in the order of the
+    signature bytes behind it; bytes that agree by chance only lengthen a run.
+    A class within 0.03 of a leader is represented by it at shorter prefixes:
+    representatives of two sets at the threshold are within 0.32, and a leader
+    of one of them within 0.42 of the other.
+    """
+    if len(sig) <= SMALL_NODE:
+        return [(i, j) for i, new, _ in leaders(sig) for j in new.tolist()]
+    rest = sig[:, tree * DEPTH + shortest : (tree + 1) * DEPTH]
+    live, out = np.lexsort(rest.T[::-1]), []
+    for length in range(DEPTH, shortest, -1):
+        here = live[need[live] <= length]
+        prefix = rest[here, : length - shortest]
+        edge = np.flatnonzero(np.concatenate(([True], (prefix[1:] != prefix[:-1]).any(1), [True])))
+        gone = []
+        for a, b in zip(edge, edge[1:]):
+            if b - a > 1:
+                run = here[a:b]
+                for i, new, group in leaders(sig[run], SAME_CLASS):
+                    out += [(int(run[i]), int(run[j])) for j in new]
+                    gone.append(run[group])
+        live = here[~np.isin(here, np.concatenate(gone))] if gone else here
+    live = live[need[live] <= shortest]
+    return out + [(int(live[i]), int(live[j])) for i, new, _ in leaders(sig[live]) for j in new]
+
+
 def grouped(batches, by: list[str]):
     """The rows of each run of equal `by` values in a sorted stream, as lists of columns."""
     held, key = None, None
@@ -153,49 +217,38 @@ def grouped(batches, by: list[str]):
         yield key, held
 
 
-def _edges(rows: DataFrame, lead: bool) -> DataFrame:
-    """Edges (a, b) to leaders of the rows (node, salt, key, sig); with `lead` also the leaders, as (node, a, sig)."""
+def _candidates(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """Edges whose components hold every pair of classes that share a trie node and may be a link."""
+    shortest = depth(threshold, recall)
+    at = classes.select("key", F.posexplode("nodes").alias("tree", "node")).withColumn("salt", F.pmod(F.xxhash64(F.lit(7), "key"), F.lit(SALTS)))
+    shared = at.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
+    shared = shared.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    rows = at.join(shared, ["node", "salt"]).join(classes.select("key", "n", "sig"), "key")
+    parts = F.ceil(F.col("m") / NODE_CLASSES)
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("key"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))
+    rows = rows.select("node", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "tree", "key", "n", "sig")
+    by = ["node", "i", "j"]
+    bounded_batches(rows.sparkSession)
 
     def run(batches):
-        out = {"node": [], "a": [], "b": [], "sig": []}
+        a, b = [], []
 
         def batch():
-            return pa.RecordBatch.from_arrays([pa.array(out["node"], pa.int64()), *(pa.array(out[c], pa.binary()) for c in ("a", "b", "sig"))], names=list(out))
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
-        for (node, _), g in grouped(batches, ["node", "salt"]):
+        for _, g in grouped(batches, by):
             sig = np.frombuffer(b"".join(g["sig"]), np.uint8).reshape(len(g["sig"]), -1)
-            for i, near in leaders(sig):
-                out["node"] += [node] * len(near)
-                out["a"] += [g["key"][j] for j in near]
-                out["b"] += [g["key"][i]] * len(near)
-                out["sig"] += [None] * len(near)
-                if lead:
-                    for c, v in (("node", node), ("a", g["key"][i]), ("b", None), ("sig", g["sig"][i])):
-                        out[c].append(v)
-            if len(out["a"]) > 10_000:
+            for x, y in matched(sig, g["tree"][0], needed(np.array(g["n"]), threshold, recall), shortest):
+                a.append(g["key"][y])
+                b.append(g["key"][x])
+            if len(a) > 10_000:
                 yield batch()
-                for v in out.values():
-                    v.clear()
+                a.clear()
+                b.clear()
         yield batch()
 
-    dealt = rows.repartition(partitions(rows.sparkSession), "node", "salt").sortWithinPartitions("node", "salt", "key")
-    return dealt.mapInArrow(run, "node long, a binary, b binary, sig binary")
-
-
-def _candidates(classes: DataFrame) -> DataFrame:
-    """Edges whose components hold every pair of classes that share a trie node and may be a link."""
-    at = classes.select("key", F.explode("nodes").alias("node"))
-    shared = at.groupBy("node").agg(F.count("*").alias("m")).where("m > 1")
-    salts = F.ceil(F.col("m") / NODE_CLASSES)
-    rows = at.join(shared, "node").join(classes.select("key", "sig"), "key").select("node", F.pmod(F.xxhash64("key"), salts).alias("salt"), "key", "sig", "m")
-    rows = written(rows)
-    first = _edges(rows.where(F.col("m") <= NODE_CLASSES).select("node", "salt", "key", "sig"), False).select("a", "b")
-    large = rows.where(F.col("m") > NODE_CLASSES).select("node", "salt", "key", "sig")
-    if large.isEmpty():
-        return first
-    dealt = written(_edges(large, True))
-    again = _edges(dealt.where("sig is not null").select("node", F.lit(0).cast("long").alias("salt"), F.col("a").alias("key"), "sig"), False)
-    return first.union(dealt.where("sig is null").select("a", "b")).union(again.select("a", "b"))
+    dealt = rows.repartition(partitions(rows.sparkSession), *by).sortWithinPartitions(*by, "key")
+    return dealt.mapInArrow(run, "a binary, b binary")
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -219,15 +272,16 @@ def linked(sizes_a: np.ndarray, sizes_b: np.ndarray, common: np.ndarray, thresho
 
 def _verified(members: DataFrame, docs: DataFrame, threshold: float) -> DataFrame:
     """(a, b, texts, rows): b null: class a has so many links, to classes of so many rows, in a block; else an edge of a block's links."""
-    size = members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("s"))
+    size = written(members.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("s")))
     parts = F.greatest(F.ceil(F.col("m") / BLOCK_CLASSES), F.ceil(F.col("s") / BLOCK_SHINGLES))
     parts = F.when(F.col("m") <= 2, F.lit(1)).otherwise(parts)
-    own = members.join(size, "component").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "key"), F.col("parts")))
+    own = hot_join(members, size, "component", "m").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64(F.lit(3), "key"), F.col("parts")))
     own = small(written(own.select("key", "rep", "component", "parts", "part", "copies")))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(own, F.col("doc_id").eqNullSafe(F.col("rep")))
     blocks = texts.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     blocks = blocks.select("component", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "key", "copies", "text")
     by = ["component", "i", "j"]
+    bounded_batches(docs.sparkSession)
 
     def run(batches):
         names = ["a", "b", "texts", "rows"]
@@ -304,18 +358,18 @@ def near_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = REC
     component of links; n_copies: other rows of the same set; n_links: other
     rows at the threshold or above, the copies among them.
     """
-    rows = written(_signed_rows(docs, depth(threshold, recall)))
+    rows = written(_signed_rows(docs, threshold, recall))
     classes = written(rows.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("nodes").alias("nodes"), F.any_value("sig").alias("sig")))
-    maybe = components(_candidates(classes)).select(F.col("node").alias("key"), "component")
-    members = classes.select("key", "rep", "copies", "n").join(maybe, "key")
+    maybe = components(_candidates(classes, threshold, recall)).select(F.col("node").alias("key"), "component")
+    members = written(classes.select("key", "rep", "copies", "n").join(maybe, "key"))
     found = written(_verified(members, docs, threshold))
     links = found.where("b is null").groupBy(F.col("a").alias("key")).agg(F.sum("rows").alias("near"))
     group = components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("key"), "component")
-    named = classes.select("key", "rep", "copies").join(group, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = named.groupBy("component").agg(F.min("rep").alias("class_id"))
-    named = named.join(least, "component").join(links, "key", "left")
-    named = named.select("key", F.col("rep").alias("copy_id"), "class_id", (F.col("copies") - 1).alias("n_copies"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"))
-    return rows.select("doc_id", "key").join(named, "key").select("doc_id", "key", "copy_id", "class_id", "n_copies", "n_links")
+    named = written(classes.select("key", "rep", "copies").join(group, "key", "left").withColumn("component", F.coalesce("component", "key")))
+    least = written(named.groupBy("component").agg(F.min("rep").alias("class_id"), F.count("*").alias("m")))
+    named = hot_join(named, least, "component", "m").join(links, "key", "left")
+    named = named.select("key", F.col("rep").alias("copy_id"), "class_id", (F.col("copies") - 1).alias("n_copies"), (F.col("copies") - 1 + F.coalesce("near", F.lit(0))).alias("n_links"), "copies")
+    return hot_join(rows.select("doc_id", "key"), written(named), "key", "copies").select("doc_id", "key", "copy_id", "class_id", "n_copies", "n_links")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -327,24 +381,23 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         gone = small(written(gone))
         return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["doc_id"]), "left_anti")
     # ids that name several rows: each row is judged by its own set, and equal ones are made one
-    keyed = _keyed(docs)
-    stay = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "key").distinct()
-    stay = stay.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key2"))
-    kept = keyed.join(stay, keyed["doc_id"].cast("long").eqNullSafe(stay["_id"]) & (F.col("_key") == F.col("_key2")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
-
+    key = next(c for c in map("_key{}".format, range(len(docs.columns) + 1)) if c not in docs.columns)
+    keyed = _keyed(docs, key)
+    stay = joined.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("id"), F.col("key").alias("set")).distinct()
+    kept = keyed.join(stay, keyed["doc_id"].cast("long").eqNullSafe(stay["id"]) & (keyed[key] == stay["set"]), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).select(*docs.columns)
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    from pyspark.sql import types as T
 
-    schema = T.StructType([*docs.schema, T.StructField("_key", T.BinaryType())])
+def _keyed(docs: DataFrame, key: str) -> DataFrame:
+    """docs with the names of its texts' sets in a column that it has not."""
+    schema = T.StructType([*docs.schema, T.StructField(key, T.BinaryType())])
 
     def make():
         def step(batch):
             texts = clean(batch.column("text").to_pylist())
             for a, b in chunks(map(len, texts), 600_000):
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(Sets.of(texts[a:b]).keys(), pa.binary())], names=[*part.schema.names, "_key"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(Sets.of(texts[a:b]).keys(), pa.binary())], names=[*part.schema.names, key])
 
         return step
 

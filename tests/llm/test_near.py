@@ -60,6 +60,7 @@ def test_equals_brute_force(spark):
 def test_large_groups_go_through_blocks(spark, monkeypatch):
     monkeypatch.setattr(nearjoin, "BLOCK_CLASSES", 5)
     monkeypatch.setattr(nearjoin, "NODE_CLASSES", 7)
+    monkeypatch.setattr(nearjoin, "SMALL_NODE", 3)
     r = random.Random(5)
     base = [f"w{k}" for k in range(120)]
     rows = []
@@ -81,6 +82,69 @@ def test_one_of_each_keeps_columns_and_repeated_rows_once(spark):
     assert nearjoin.one_of_each(df.limit(0)).count() == 0
 
 
+def test_recall_in_large_nodes():
+    """Classes of one node: families of near copies around one stem, whose members are linked at 0.8 and above."""
+    r, trees, recalls = random.Random(11), nearjoin.TREES, []
+    stem = [f"s{k}" for k in range(150)]
+    texts = []
+    for f in range(60):
+        base = list(stem)
+        for _ in range(25):
+            base[r.randrange(150)] = f"f{f}x{r.randrange(99)}"
+        for _ in range(12):
+            words = list(base)
+            for _ in range(r.choice([1, 2, 3, 4])):
+                words[r.randrange(150)] = f"y{r.randrange(10**6)}"
+            texts.append(" ".join(words))
+    sets = nearjoin.Sets.of(texts)
+    low = sets.minima(trees * nearjoin.DEPTH)
+    sig = (nearjoin.mix(low) & np.uint64(255)).astype(np.uint8)
+    every = [sets.names[a:b] for a, b in zip(sets.first, sets.first[1:])]
+    link = nearjoin.linked(sets.sizes, sets.sizes, nearjoin.overlaps(every, None).astype(np.int64), 0.8)
+    pairs = np.argwhere(np.triu(link, 1))
+    assert len(pairs) > 500
+    need = nearjoin.needed(sets.sizes, 0.8, nearjoin.RECALL)
+    for tree in range(trees):
+        group = list(range(len(texts)))
+
+        def find(x):
+            while group[x] != x:
+                x = group[x]
+            return x
+
+        for a, b in nearjoin.matched(sig, tree, need, nearjoin.depth()):
+            group[find(a)] = find(b)
+        recalls.append(np.mean([find(a) == find(b) for a, b in pairs]))
+    assert min(recalls) > 0.999
+
+
+def test_least_link_and_needed_prefixes():
+    def slow(n):
+        every = [c / (n + m - c) for m in range(1, 3 * n) for c in range(min(n, m) + 1) if not n == m == c]
+        return min((s for s in every if s >= 0.8 - 1e-9), default=None)
+
+    for n in range(1, 40):
+        assert nearjoin.least_link(n) == slow(n)
+    need = nearjoin.needed(np.array([0, 1, 3, 4, 6, 7, 500]), 0.8, nearjoin.RECALL)
+    assert need.tolist()[:3] == [0, 0, 0] and need[3] == need[-1] == nearjoin.depth() <= need[4] <= need[5]
+
+
+def test_pairs_at_exactly_the_threshold_are_links(spark):
+    words = [f"w{k}" for k in range(14)]  # ten shingles; the first eight words have four of them, the first thirteen nine
+    rows = [(1, " ".join(words[:12])), (2, " ".join(words)), (3, " ".join(words[:9])), (4, " ".join(words[:8])), (None, "only this"), (None, "only this")]
+    got = nearjoin.near_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    links = {(r.doc_id, r.class_id): r.n_links for r in got}  # 8 of 10 shingles; 4 of 5
+    assert links == {(1, 1): 1, (2, 1): 1, (3, 3): 1, (4, 3): 1, (None, None): 1}
+
+
+def test_near_join_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "doc_id long, text string, _key0 string")
+    assert nearjoin.near_join(df).count() == 0
+    twice = spark.createDataFrame([(1, "a b c d e f", "k"), (1, "a b c d e f", "k"), (1, "other words", "k")], df.schema)
+    kept = nearjoin.one_of_each(twice).collect()
+    assert sorted(r.text for r in kept) == ["a b c d e f", "other words"] and kept[0]._key0 == "k"
+
+
 def test_depth_reaches_the_recall():
     d = nearjoin.depth()
     assert 1 - (1 - 0.8**d) ** nearjoin.TREES >= nearjoin.RECALL > 1 - (1 - 0.8 ** (d + 1)) ** nearjoin.TREES
