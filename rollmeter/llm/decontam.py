@@ -1,17 +1,22 @@
 """Benchmark decontamination by SimHash windows.
 
 Every run of words as long as a benchmark item is a window; a text with fewer
-words than the item is one window of all its words.  A window's fingerprint is the SimHash of its weighted five-word shingles; a multi-index over the
-fingerprint's eight bytes finds every item of that length within RADIUS bits
-(a pair within 8 * 3 - 1 bits agrees in some byte up to two bits), and the
-exact weighted Jaccard similarity of the shingle sets decides.  A shingle's
-weight is 1 + ln(items / items that have it), over the whole benchmark.  Windows without any shingle of
-an item of their length have similarity 0 and are not fingerprinted.
+words than the item is one window of all its words.  A window's fingerprint is
+the SimHash of its weighted five-word shingles; a multi-index, for each of the
+fingerprint's eight bytes a table of the items by the bytes within two bits of
+theirs, finds every item of that length within RADIUS bits (a pair within
+8 * 3 - 1 bits agrees in some byte up to two bits), and the exact weighted
+Jaccard similarity of the shingle sets decides.  A shingle's weight is
+1 + ln(items / items that have it), over the whole benchmark.  Windows without
+any shingle of an item of their length have similarity 0 and are not
+fingerprinted.
 
 Defined results: null and empty texts, and items without a word, match
 nothing; an item of one to four words matches where these words stand in a
 row; of equally similar windows the first counts; repeated documents are
-reported each, repeated items once an item_id.  Texts are never cut.
+reported each, an item_id once for each, by the best of its texts; a null
+item_id is no item; an empty table of documents or items gives an empty result; other columns are
+not used.  Texts are never cut.
 """
 
 from __future__ import annotations
@@ -24,12 +29,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .frames import arrow_pass, small, written
-from .textcore import SHINGLE_WORDS, U64, NameSet, Words, chunks, clean, mix, seeds, signed
+from .textcore import SHINGLE_WORDS, U64, NameSet, Words, chunks, clean, mix, ranges, seeds, signed
 
 THRESHOLD = 0.8
 BLOCKS, BLOCK_RADIUS = 8, 2
 RADIUS = BLOCKS * (BLOCK_RADIUS + 1) - 1
 PASS_ITEMS, PASS_CHARS = 20_000, 20_000_000  # of the benchmark in one pass over the documents
+PIECE_WORDS, PIECE_PAIRS = 1 << 14, 1 << 20  # of a text fingerprinted at once; of windows and items compared at once
 
 
 def runs(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,24 +59,35 @@ def as_bytes(prints: np.ndarray) -> np.ndarray:
     return ((prints[:, None] >> (np.arange(BLOCKS, dtype=U64) * U64(8))) & U64(255)).astype(np.int64)
 
 
+NEAR_BYTES = [np.flatnonzero(np.bitwise_count(np.arange(256) ^ v) <= BLOCK_RADIUS) for v in range(256)]
+
+
 class Group:
-    """Items of one length in words."""
+    """Items of one length in words, and a table for each block: the items by each byte near theirs."""
 
     def __init__(self, size: int, items: list[int], sets: list[dict[int, float]], prints: np.ndarray):
         self.size, self.items, self.sets, self.prints = size, items, sets, prints
         self.total = np.array([sum(s.values()) for s in sets])
-        near = np.bitwise_count(np.arange(256)[:, None] ^ np.arange(256)[None, :]) <= BLOCK_RADIUS
-        self.table = np.stack([near[:, b] for b in as_bytes(prints).T])  # (block, a window's byte, item)
+        self.tables = []
+        for value in as_bytes(prints).T:
+            near = np.concatenate([NEAR_BYTES[v] for v in value])
+            order = np.argsort(near, kind="stable")
+            self.tables.append((np.searchsorted(near[order], np.arange(257)), np.repeat(np.arange(len(items), dtype=np.int32), [len(NEAR_BYTES[v]) for v in value])[order]))
 
     def within(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(window, item, bits) of all pairs within RADIUS."""
-        some = np.zeros((len(prints), len(self.items)), bool)
-        for block, value in zip(self.table, as_bytes(prints).T):
-            some |= block[value]
-        w, k = np.nonzero(some)
-        bits = np.bitwise_count(prints[w] ^ self.prints[k])
-        keep = bits <= RADIUS
-        return w[keep], k[keep], bits[keep]
+        out, step = [], max(1, PIECE_PAIRS // (BLOCKS * len(self.items)))
+        for a in range(0, len(prints), step):
+            found = []
+            for (first, listed), value in zip(self.tables, as_bytes(prints[a : a + step]).T):
+                n = first[value + 1] - first[value]
+                found.append(np.repeat(np.arange(len(value)), n) * len(self.items) + listed[ranges(first[value], n)])
+            pair = np.unique(np.concatenate(found))
+            w, k = a + pair // len(self.items), pair % len(self.items)
+            bits = np.bitwise_count(prints[w] ^ self.prints[k])
+            keep = bits <= RADIUS
+            out.append((w[keep], k[keep], bits[keep]))
+        return tuple(np.concatenate(x) for x in zip(*out)) if out else (np.zeros(0, np.int64),) * 3
 
 
 def item_shingles(words: Words) -> dict[int, np.ndarray]:
@@ -137,24 +154,33 @@ class Benchmark:
             for a, b in zip(edge, edge[1:]):
                 sizes = sorted({n for e in np.unique(entry[a:b]).tolist() for n in self.sizes_of[k][e]})
                 for n in sizes:
-                    self._windows(words, name, k, int(doc[a]), at[a:b], entry[a:b], self.groups[n], threshold, best)
-        return [(d, self.ids[i], *v) for (d, i), v in sorted(best.items())]
+                    self._windows(words, name, k, int(doc[a]), at[a:b], self.groups[n], threshold, best)
+        return [(d, i, *v) for (d, i), v in sorted(best.items())]
 
-    def _windows(self, words, name, k, doc, at, entry, group, threshold, best) -> None:
+    def _windows(self, words, name, k, doc, at, group, threshold, best) -> None:
         size = min(group.size, int(words.first[doc + 1] - words.first[doc]))
         width = size - k + 1  # shingles of a window
         lo, hi = words.first[doc], words.first[doc + 1] - size  # first and last start
-        starts = np.unique((at[:, None] - np.arange(width)[None, :]).ravel())
-        starts = starts[(starts >= lo) & (starts <= hi)]
-        if not len(starts):
-            return
+        while len(at):  # hits in ascending order, a piece of the text after the other
+            n = int(np.searchsorted(at, at[0] + max(PIECE_WORDS, width)))
+            base = int(at[0]) - width + 1
+            cover = np.zeros(int(at[n - 1]) - base + 2, np.int32)  # how many hits the window from here on has
+            np.add.at(cover, at[:n] - width + 1 - base, 1)
+            np.add.at(cover, at[:n] + 1 - base, -1)
+            begin = base + np.flatnonzero(np.cumsum(cover[:-1]) > 0)
+            begin = begin[(begin >= lo) & (begin <= hi)]
+            if len(begin):
+                self._piece(name, doc, at, begin, width, size, int(lo), group, threshold, best)
+            at = at[n:] if n < len(at) else at[:0]
+
+    def _piece(self, name, doc, at, starts, width, size, lo, group, threshold, best) -> None:
         a, b = int(starts[0]), int(starts[-1]) + width
         span = name[a:b]
         weight = self.shared.weights(span)
-        here = (at >= a) & (at < b)
+        here = at[(at >= a) & (at < b)] - a
         window, item, bits = group.within(simhash(span, weight, starts - a, starts - a + width))
         known = np.zeros(b - a + 1)
-        known[1:][at[here] - a] = weight[at[here] - a]
+        known[1:][here] = weight[here]
         most = np.cumsum(known)
         shared = most[starts - a + width] - most[starts - a]  # at least what a window has in common with any item
         keep = shared[window] >= threshold * group.total[item] - 1e-9
@@ -165,8 +191,8 @@ class Benchmark:
             other = group.sets[i]
             common = sum(v for x, v in own.items() if x in other)
             like = common / (sum(own.values()) + group.total[i] - common)
-            key, first = (doc, group.items[i]), s + a - int(lo)
-            if like >= threshold - 1e-9 and (key not in best or (-like, first) < (-best[key][0], best[key][2])):
+            key, first = (doc, self.ids[group.items[i]]), s + a - lo
+            if like >= threshold - 1e-9 and (key not in best or (-like, first, size) < (-best[key][0], best[key][2], best[key][3])):
                 best[key] = float(min(1.0, like)), int(d), first, size
 
 
@@ -197,7 +223,7 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) ->
     common = counts(items, n)
     out = None
     for p in range(passes):
-        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(passes)) == p)
+        part = items if passes == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == p)
         rows = sorted(part.collect())
         shared = docs.sparkSession.sparkContext.broadcast(Benchmark([r.item_id for r in rows], [r.text for r in rows], common))  # of about PASS_ITEMS items
 

@@ -116,6 +116,36 @@ def test_decontamination_does_not_depend_on_the_passes(spark, monkeypatch):
     assert rows() == whole and len(whole) > 20
 
 
+def test_decontamination_in_pieces_and_of_odd_tables(spark, monkeypatch):
+    r = random.Random(12)
+    vocab = [f"w{i}" for i in range(60)]
+    items = [(i, " ".join(r.choice(vocab) for _ in range(n))) for i, n in enumerate([5, 8, 12, 30, 40])]
+    docs = []
+    for d in range(40):
+        words = [r.choice(vocab) for _ in range(r.choice([30, 900]))]
+        for _, t in r.sample(items, 2):
+            q = t.split()
+            q[r.randrange(len(q))] = "edited" if len(q) > 25 else q[0]
+            at = r.randint(0, len(words))
+            words[at:at] = q
+        docs.append((d // 2 if d < 10 else d, " ".join(words), "x"))
+    docs += [docs[0], (99, "", "x"), (None, items[0][1], "x")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, item_id string")
+    bench = spark.createDataFrame([*items, (3, items[4][1]), (None, "a b c d e f"), (8, " "), (9, None)], "item_id long, text string")
+    rows = lambda: sorted(((-1 if x.doc_id is None else x.doc_id), x.item_id, round(x.similarity, 9), x.first_word, x.n_words) for x in decontam.find(df, bench).collect())
+    whole = rows()
+    assert len(whole) >= 15 and (-1, 0, 1.0, 0, 5) in whole
+    per_row = {}
+    for x in whole:
+        per_row.setdefault(x[0], []).append(x[1])
+    assert all(per_row[d].count(i) <= 3 for d in per_row for i in per_row[d])  # once for each of at most three rows of an id
+    monkeypatch.setattr(decontam, "PIECE_WORDS", 16)
+    monkeypatch.setattr(decontam, "PIECE_PAIRS", 64)
+    assert rows() == whole
+    assert decontam.find(df.limit(0), bench).count() == 0 and decontam.find(df, bench.limit(0)).count() == 0
+    assert decontam.without(df, bench.limit(0)).count() == len(docs)
+
+
 def test_multi_index_guarantees_the_radius():
     rng = np.random.default_rng(3)
     prints = rng.integers(0, 2**63, 20).astype(np.uint64)
