@@ -9,8 +9,10 @@ is the one of the highest mean posterior.
 
 Defined results: null text, empty text and text without a letter get `und`
 and score 0; equal mean posteriors go to the first language in sorted order;
-repeated rows get equal results; without any labelled text all is `und`.
-Texts are never cut.
+repeated rows get equal results; without any labelled text all is `und`; an
+empty table gives an empty one.  Any number of languages is learned: time and
+memory grow with the square of it, for which texts are taken in smaller
+batches and longer windows.  Texts are never cut.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .frames import arrow_pass
-from .textcore import U64, Codes, NameSet, Words, chunks, clean, mix, ranges, seeds
+from .textcore import CHUNK_CHARS, U64, Codes, NameSet, Words, chunks, clean, mix, ranges, seeds
 
 ROWS_PER_LANGUAGE = 240  # bound of the training sample, about, by a hash of the id
 SAMPLE_CHARS = 3_000_000  # bound of its characters, shared by the languages
 TRAIN_WORDS = 240_000
-LANGUAGES = 64  # the most frequent ones; more are refused
-BUCKETS = 1 << 17
+BUCKETS = 1 << 17  # of hashed features; halved while languages times buckets pass WEIGHTS
+WEIGHTS = 1 << 23
+TABLES = 1 << 24  # entries of the transfer matrices of a batch, about
 LEXICON = 60_000
 SEQUENCE, BATCH, EPOCHS, SWITCHED = 24, 512, 8, 0.3
 WINDOW = 32
@@ -38,7 +41,20 @@ UNKNOWN = "und"
 _NO_LEXICON = -1
 
 
-def features(codes: Codes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def buckets(k: int) -> int:
+    """The hash buckets of a model of k languages."""
+    n = BUCKETS
+    while n > 1024 and n * k > WEIGHTS:
+        n //= 2
+    return n
+
+
+def batch_chars(k: int) -> int:
+    """Characters of a batch for k languages: fewer for many, as each word has a row of them."""
+    return max(2000, min(CHUNK_CHARS, CHUNK_CHARS * 32 // k))
+
+
+def features(codes: Codes, start: np.ndarray, end: np.ndarray, n: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(hash buckets of all words' affixes and n-grams, each word's number of them)."""
     size = end - start
     spans, salt = [], seeds(16, 21)
@@ -51,7 +67,7 @@ def features(codes: Codes, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
         count = np.maximum(size - k + 1, 0)
         spans.append((np.repeat(who, count), ranges(start, count), k, salt[k + 8]))
     word = np.concatenate([x[0] for x in spans])
-    bucket = np.concatenate([(mix(codes.names(s, s + k) ^ z) & U64(BUCKETS - 1)).astype(np.int32) for _, s, k, z in spans])
+    bucket = np.concatenate([(mix(codes.names(s, s + k) ^ z) & U64(n - 1)).astype(np.int32) for _, s, k, z in spans])
     order = np.argsort(word, kind="stable")
     return bucket[order], np.bincount(word, minlength=len(start))
 
@@ -66,18 +82,19 @@ def posteriors(emission: np.ndarray, first: np.ndarray, trans: np.ndarray, prior
     n, k = emission.shape
     if not n:
         return emission
+    window = max(WINDOW, n * k * k // TABLES)
     count = np.diff(first)
-    wins = -(-count // WINDOW)
+    wins = -(-count // window)
     at_win = np.concatenate(([0], np.cumsum(wins)))
     nw = int(at_win[-1])
     owner = np.repeat(np.arange(len(count)), wins)
-    begin = first[owner] + (np.arange(nw) - at_win[owner]) * WINDOW
-    size = np.minimum(first[owner + 1] - begin, WINDOW)
+    begin = first[owner] + (np.arange(nw) - at_win[owner]) * window
+    size = np.minimum(first[owner + 1] - begin, window)
     order = np.argsort(-size, kind="stable")  # full windows first, so a step touches a prefix
     begin, size = begin[order], size[order]
     place = np.empty(nw, np.int64)
     place[order] = np.arange(nw)
-    live = [int(np.searchsorted(-size, -t, "left")) for t in range(WINDOW)]  # windows with a word at step t
+    live = [int(np.searchsorted(-size, -t, "left")) for t in range(window)]  # windows with a word at step t
     moved = np.broadcast_to(np.eye(k), (nw, k, k)).copy()
     head = np.zeros(nw, bool)
     head[place[at_win[:-1][count > 0]]] = True
@@ -139,7 +156,7 @@ class Model:
     def emissions(self, words: Words) -> np.ndarray:
         """Potentials of every word; computed once for each different word."""
         names, where, back = np.unique(words.name, return_index=True, return_inverse=True)
-        bucket, count = features(words.codes, words.start[where], words.end[where])
+        bucket, count = features(words.codes, words.start[where], words.end[where], len(self.hashed))
         z = np.add.reduceat(self.hashed[bucket], np.cumsum(count) - count, axis=0) if len(names) else np.zeros((0, len(self.languages)))
         at, entry = self.lexicon.find(names)
         z[at] += self.words[entry]
@@ -190,12 +207,13 @@ def fit(texts: list[str], labels: list[str], rounds: int = EPOCHS) -> Model | No
     names, where, back = np.unique(words.name, return_index=True, return_inverse=True)
     frequent = np.sort(np.argsort(-np.bincount(back, minlength=len(names)), kind="stable")[:LEXICON])
     lexicon = NameSet(names[frequent])
-    bucket, count = features(words.codes, words.start[where], words.end[where])
+    size = buckets(k)
+    bucket, count = features(words.codes, words.start[where], words.end[where], size)
     at = np.cumsum(count) - count
     entry = np.full(len(names), _NO_LEXICON)
     hit, found = lexicon.find(names)
     entry[hit] = found
-    w = {"hashed": np.zeros((BUCKETS, k)), "words": np.zeros((len(lexicon.names), k)), "trans": np.eye(k) * 2.0, "prior": np.zeros(k)}
+    w = {"hashed": np.zeros((size, k)), "words": np.zeros((len(lexicon.names), k)), "trans": np.eye(k) * 2.0, "prior": np.zeros(k)}
     g2 = {x: np.full(v.shape, 1e-3) for x, v in w.items()}
     for _ in range(rounds):
         mixed = rng.permutation(len(seq))
@@ -229,7 +247,7 @@ def fit(texts: list[str], labels: list[str], rounds: int = EPOCHS) -> Model | No
             flat_error = error.reshape(-1, k)
             per_word = np.stack([np.bincount(inv, flat_error[:, j], len(used)) for j in range(k)], 1)
             step = {
-                "hashed": np.stack([np.bincount(flat, per_word[own, j], BUCKETS) for j in range(k)], 1),
+                "hashed": np.stack([np.bincount(flat, per_word[own, j], size) for j in range(k)], 1),
                 "words": np.zeros_like(w["words"]),
                 "trans": true - pair.sum((0, 1)),
                 "prior": error[:, 0].sum(0),
@@ -246,17 +264,17 @@ def fit(texts: list[str], labels: list[str], rounds: int = EPOCHS) -> Model | No
 def sample(docs: DataFrame, learn, label: str = "lang") -> tuple[list[str], list[str]]:
     """The bounded training sample: about ROWS_PER_LANGUAGE texts of each language, by a hash of their content and id."""
     labelled = docs.where(learn & F.col("text").isNotNull() & F.col(label).isNotNull())
-    counts = sorted(labelled.groupBy(label).count().orderBy(F.desc("count"), label).limit(LANGUAGES + 1).collect())
-    if len(counts) > LANGUAGES:
-        raise ValueError(f"over {LANGUAGES} languages")
+    counts = sorted(labelled.groupBy(label).count().collect())  # a row a language
     if not counts:
         return [], []
     dice = F.pmod(F.xxhash64(F.lit(11), "doc_id", label), F.lit(1 << 40)) / float(1 << 40)
     share = F.create_map(*[x for lang, n in counts for x in (F.lit(lang), F.lit(ROWS_PER_LANGUAGE / n))])
     rows = labelled.select("text", F.col(label).alias("_label"), dice.alias("_dice"), share[F.col(label)].alias("_share")).where("_dice < _share")
-    order = Window.partitionBy("_label").orderBy("_dice", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)  # of the sample alone
-    before = F.sum(F.length("text")).over(order) - F.length("text")
-    got = rows.withColumn("_before", before).where(F.col("_before") < SAMPLE_CHARS // len(counts)).select("text", "_label", "_dice").collect()
+    limit = SAMPLE_CHARS // len(counts)
+    order = Window.partitionBy("_label").orderBy(F.length("text") > limit, "_dice", "text")  # of the sample alone; over-long texts last
+    sums = F.sum(F.length("text")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("_sum", sums).withColumn("_n", F.row_number().over(order))
+    got = rows.where((F.col("_sum") <= limit) | (F.col("_n") == 1)).select("text", "_label", "_dice").collect()
     got.sort(key=lambda r: (r._dice, r._label, r.text))
     return [r.text for r in got], [r._label for r in got]
 
@@ -279,7 +297,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
         def step(batch):
             texts = clean(batch.column("text").to_pylist())
-            for a, b in chunks(map(len, texts)):
+            for a, b in chunks(map(len, texts), batch_chars(len(own.languages))):
                 best, score = own.classify(texts[a:b])
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(best, pa.string()), pa.array(score)], names=[*names, "lang_pred", "score"])
@@ -299,7 +317,7 @@ def word_labels(docs: DataFrame, model: Model) -> DataFrame:
 
         def step(batch):
             texts, ids = clean(batch.column("text").to_pylist()), batch.column("doc_id")
-            for a, b in chunks(map(len, texts)):
+            for a, b in chunks(map(len, texts), batch_chars(len(own.languages))):
                 words, post = own.label(texts[a:b])
                 base, best = words.codes.starts[words.doc], post.argmax(1) if len(post) else np.zeros(0, int)
                 rows = list(zip((words.start - base).tolist(), (words.end - base).tolist(), (own.languages[i] for i in best), post.max(1).tolist() if len(post) else []))

@@ -43,6 +43,31 @@ def test_language_held_out_accuracy(spark, sf):
     assert labels[:10].count("en") >= 8 and labels[-10:].count("de") >= 8
 
 
+def test_posteriors_do_not_depend_on_the_window(monkeypatch):
+    rng = np.random.default_rng(5)
+    first = np.array([0, 3, 3, 170, 400])
+    e, a, pi = rng.random((400, 4)) + 0.01, rng.random((4, 4)) + 0.1, rng.random(4) + 0.1
+    want = langid.posteriors(e, first, a, pi)
+    monkeypatch.setattr(langid, "TABLES", 64)  # windows of 100 words
+    assert np.allclose(langid.posteriors(e, first, a, pi), want)
+
+
+def test_seventy_languages_and_equal_posteriors(spark):
+    r = random.Random(9)
+    words = {k: [f"{chr(97 + k % 26)}{chr(97 + k // 26)}{r.choice('xyz')}{r.choice('aeiou')}{i}q".translate(str.maketrans("0123456789", "bcdfghjklm")) for i in range(12)] for k in range(70)}
+    rows = [(10 * k + i, " ".join(r.choice(words[k]) for _ in range(60)), f"l{k:02}") for k in range(70) for i in range(6)]
+    rows += [(9000, rows[0][1], None), (9000, rows[0][1], None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True))
+    assert len(model.languages) == 70 and len(model.hashed) * 70 <= langid.WEIGHTS
+    got = langid.predict(docs, model).collect()
+    assert np.mean([x.lang == x.lang_pred for x in got if x.lang]) > 0.95
+    assert len({(x.lang_pred, x.score) for x in got if x.doc_id == 9000}) == 1
+    assert langid.predict(docs.limit(0), model).count() == 0
+    flat = langid.Model(["b", "c"], np.zeros((1024, 2)), langid.NameSet(np.zeros(0, np.uint64)), np.zeros((0, 2)), np.ones((2, 2)), np.ones(2))
+    assert flat.classify(["some words"])[0] == ["b"]
+
+
 def test_language_without_labels_is_und(spark):
     docs = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert langid.predict(docs, langid.train(docs, F.lit(True))).first().lang_pred == "und"
