@@ -7,8 +7,11 @@ that holds the larger part of its bytes, and to the earlier one on a tie; so
 the counts of a text's sections add up to the tokens of the text.
 
 Defined results: a null or empty text has no sections and no rows; a section
-without a token counts 0; repeated rows give equal counts; text outside given
-sections is counted as section -1, if it holds tokens.  Texts are never cut.
+without a token counts 0; so does a null section or one with a null bound,
+which is empty at the text's beginning; null sections of a text are none;
+repeated rows give equal counts; text outside given sections is counted as
+section -1, if it holds tokens; an empty table gives an empty one; columns
+other than doc_id, the text and the sections are not used.  Texts are never cut.
 """
 
 from __future__ import annotations
@@ -62,6 +65,11 @@ class Spans:
         return best
 
 
+def _bounds(section: dict | None) -> tuple[int, int]:
+    start, end = (section["start"], section["end"]) if section else (None, None)
+    return (0, 0) if start is None or end is None else (start, end)
+
+
 def _rows(bpe: ByteBPE, texts: list[str], sections: list[list[tuple[int, int]]] | None) -> tuple[list[np.ndarray], ...]:
     """(text, section, start, end, tokens) of every section; without sections, a text's lines with their line ends."""
     spans = Spans(bpe, texts)
@@ -117,7 +125,7 @@ def attribute(docs: DataFrame, path: str, sections: str | None = None) -> DataFr
 
         def step(batch):
             texts, ids = clean(batch.column("text").to_pylist()), batch.column("doc_id")
-            given = [[(x["start"], x["end"]) for x in r or []] for r in batch.column("sections").to_pylist()] if sections else None
+            given = [[_bounds(x) for x in r or []] for r in batch.column("sections").to_pylist()] if sections else None
             for a, b in chunks(map(len, texts)):
                 doc, *rest = _rows(bpe, texts[a:b], given[a:b] if given else None)
                 yield pa.RecordBatch.from_arrays([ids.take(pa.array(doc + a)), *map(pa.array, rest)], names=names)

@@ -179,6 +179,38 @@ def test_token_counts_of_given_sections(spark):
     assert (got[1].start, got[1].end) == (7, len(text)) and got[2].n_tokens == 0
 
 
+def test_token_counts_equal_a_plain_recount(spark):
+    r, own = random.Random(4), bpe.load(PATH)
+    rows = []
+    for d in range(60):
+        text = "".join(r.choice(["word", " ", "é", "中文", "\n", "12345", " the", "'s", "𝒳", "!!!"]) for _ in range(r.randint(0, 40)))
+        cuts = sorted(r.randint(0, len(text)) for _ in range(2 * r.randint(0, 4)))
+        rows.append((d, text, [(a, b) for a, b in zip(cuts[::2], cuts[1::2])] + [None, (None, 3)], "x"))
+    df = spark.createDataFrame([*rows, rows[0], (99, None, [(0, 1)], "x"), (98, "a b", None, "x")], "doc_id long, text string, s array<struct<start:long,end:long>>, n_tokens string")
+    got = {}
+    for x in tokencount.attribute(df, PATH, "s").collect():
+        got.setdefault((x.doc_id, x.section), []).append(x.n_tokens)
+    for d, text, sections, _ in rows:
+        place = [len(text[:i].encode()) for i in range(len(text) + 1)]
+        spans = sorted((place[a], place[b], k) for k, (a, b) in enumerate(sections[:-2]) if b > a)
+        edges, at = [], 0
+        for a, b, k in spans:
+            edges += [(at, a, -1), (a, b, k)]
+            at = b
+        edges.append((at, place[-1], -1))
+        want, at = {}, 0
+        for i in own.encode(text):
+            end = at + len(own.token[i])
+            k = max(edges, key=lambda e: (min(end, e[1]) - max(at, e[0]), -e[0]))[2]  # the larger part, then the earlier
+            want[k] = want.get(k, 0) + 1
+            at = end
+        mine = {k: sum(n) // (2 if d == 0 else 1) for (e, k), n in got.items() if e == d}
+        assert {k: n for k, n in mine.items() if n} == want
+        assert all(mine[k] == 0 for k in (len(sections) - 2, len(sections) - 1)) or not text
+    assert got[98, -1] == [2] and (99, 0) not in got or got[99, 0] == [0]
+    assert tokencount.attribute(df.limit(0), PATH, "s").count() == 0
+
+
 def test_html_of_the_given_pages(spark, sf):
     rows = html.extract(spark.read.parquet(f"{sf}/pages.parquet")).collect()
     raw = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
