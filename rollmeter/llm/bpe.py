@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 from .frames import arrow_pass
 from .textcore import BREAK, LETTER, SPACE, U64, Codes, char_classes, chunks, clean, mix, ranges, seeds
 
-CACHE_PRETOKENS, CACHE_CHARS = 1 << 20, 1 << 24  # per Python worker; only a cache, it is emptied when full
+CACHE_PRETOKENS, CACHE_CHARS = 1 << 19, 1 << 22  # per Python worker; only a cache, it is emptied when full
 _APOSTROPHE, _BLANK = 0x27, 0x20
 
 
@@ -127,7 +127,7 @@ class _Grown:
 class _Slots:
     """Open-addressing table from 64-bit names to small numbers; a batch is probed or filled at once."""
 
-    BITS = 21
+    BITS = 20  # twice the entries of a full cache
 
     def __init__(self):
         self.key, self.value, self.n = np.zeros(1 << self.BITS, U64), np.zeros(1 << self.BITS, np.int32), 0

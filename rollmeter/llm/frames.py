@@ -29,6 +29,15 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def give_back() -> None:
+    """Returns a Python worker's freed memory to the system, where the C library can, as workers live on between tasks."""
+    import ctypes
+
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def arrow_pass(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]], schema: str) -> DataFrame:
     """Each Arrow batch through the function that `make` builds once a task."""
     bounded_batches(df.sparkSession)
@@ -38,6 +47,7 @@ def arrow_pass(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], Iter
         for batch in batches:
             if batch.num_rows:
                 yield from step(batch)
+        give_back()
 
     return df.mapInArrow(run, schema)
 
