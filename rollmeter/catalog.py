@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import corpus, profiles, records, statistics  # noqa: F401  (each registers its queries)
+from .plans import corpus, profiles, records, rules, statistics  # noqa: F401  (each registers its queries)
 from .plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -94,6 +94,22 @@ def until_stop(ids: Column, stops: tuple[int, ...]) -> tuple[Column, Column]:
     return F.coalesce(F.slice(ids, F.lit(1), at.cast("int")), ids), F.when(at.isNull(), "length").otherwise("stop")
 
 
+def categories(ids: Column, boundary: tuple[int, ...]) -> Column:
+    """`think` before the first boundary id, `answer` from it on; without one all is `think`.  No ids give no labels."""
+    at = F.coalesce(F.array_min(F.filter(F.array(*(F.array_position(ids, F.lit(b).cast("int")) for b in boundary)), lambda x: x > 0)), F.size(ids) + 1)
+    return let(at, lambda first: F.transform(ids, lambda _, i: F.when(i + 1 < first, "think").otherwise("answer")))
+
+
+def coverage(places: Column, length: Column) -> Column:
+    """Share of a completion's tokens that the loss is taken on; null for an empty completion."""
+    return F.try_divide(F.size(places).cast("double"), length.cast("double"))
+
+
+def reaches_answer(places: Column, reasoning: Column) -> Column:
+    """Whether the last of the ascending places lies behind the reasoning; null without places."""
+    return F.try_element_at(places, F.lit(-1)) >= reasoning
+
+
 def with_eos(ids: Column, reason: Column, eos: int) -> Column:
     """A stopped completion ends with the end id."""
     ends = F.when(F.size(ids) > 0, F.element_at(ids, -1) == eos).otherwise(False)

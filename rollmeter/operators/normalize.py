@@ -64,6 +64,13 @@ def problems(long: DataFrame, line: str, override: DataFrame | None = None) -> D
     return out.where("difficulty is not null")
 
 
+def view_texts(wanted: DataFrame, problems: DataFrame, extra: DataFrame, base=("answer_only", "key_points", "full_trace")) -> DataFrame:
+    """wanted (problem_id, condition) with `target`: of a base view from the problem's map `texts`, of another from extra rows (problem_id, condition, target)."""
+    mapped = wanted.where(F.col("condition").isin(*base)).join(problems.select("problem_id", "texts"), "problem_id", "left").select("problem_id", "condition", F.try_element_at("texts", F.col("condition")).alias("target"))
+    rest = wanted.where(~F.col("condition").isin(*base)).join(extra.select("problem_id", "condition", "target"), ["problem_id", "condition"], "left")
+    return mapped.unionByName(rest)
+
+
 def incomplete_views(long: DataFrame, ids: DataFrame, conditions=K.EXTRA_CONDITIONS) -> DataFrame:
     """(problem_id, condition) that a requested problem lacks."""
     wanted = ids.select("problem_id", F.explode(F.array(*map(F.lit, conditions))).alias("condition"))

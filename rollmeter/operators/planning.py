@@ -113,6 +113,17 @@ def sampling(spark, protocol: Column | None = None) -> DataFrame:
     return spark.createDataFrame([(k, *v) for k, v in K.SAMPLING.items()], "protocol string, temperature double, top_p double, top_k int, repetition_penalty double")
 
 
+def first_items(items: DataFrame, n: int) -> DataFrame:
+    """The first n numbered items, for a trial run."""
+    return items.where(F.col("item_index") < n)
+
+
+def timings(jobs: DataFrame, log: DataFrame) -> DataFrame:
+    """Jobs, failures and seconds by cell and lane, from a log (job_id, lane, seconds, rc)."""
+    both = log.join(jobs.select("job_id", "cell"), "job_id")
+    return both.groupBy("cell", "lane").agg(F.count("*").alias("n_jobs"), F.count_if(F.col("rc") != 0).alias("n_failed"), F.sum("seconds").alias("seconds"), F.max("seconds").alias("longest"))
+
+
 def in_order(ids: DataFrame, rows: DataFrame, key: str = "problem_id") -> DataFrame:
     """rows of the listed ids with their item_index; an id without a row keeps nulls, so that it can be seen."""
     return ids.select(key, "item_index").join(rows, key, "left")

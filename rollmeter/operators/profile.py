@@ -78,6 +78,11 @@ def position_profile(df: DataFrame) -> DataFrame:
     return derived(df).groupBy("condition", "correct", "pos_bin").agg(*aggs).withColumn("bin_center", (F.col("pos_bin") + 0.5) / K.POSITION_BINS)
 
 
+def normalized(position: Column, n: Column) -> Column:
+    """0 for the first and 1 for the last of n positions; the only one is 0."""
+    return position / F.greatest(n - 1, F.lit(1))
+
+
 def region(position: Column, n: Column) -> Column:
     """By share of the whole length, the denominator being n."""
     return F.when(position < n * 0.25, "first25").when(position >= n * 0.75, "last25").otherwise("mid50")
@@ -177,9 +182,18 @@ def drift_matrix(alignments: DataFrame, students: list[str]) -> DataFrame:
     return alignments.groupBy("condition").pivot("student", students).agg(F.first("mean_difference"))
 
 
-def gate(base: DataFrame, drift: DataFrame) -> DataFrame:
-    """Whether each view's drifted value lies in the base interval, and the branch: B if the order of two views turns or any lies outside."""
-    both = base.join(drift, "view")
-    inside = F.col("drift_value").between(F.col("ci_lo"), F.col("ci_hi"))
-    rows = both.withColumn("inside", inside)
-    return rows.agg(F.count("*").alias("n_views"), F.count_if("inside").alias("n_inside"), F.when(F.bool_and("inside"), "A").otherwise("B").alias("branch"))
+def gate(base: DataFrame, drift: DataFrame, low: str, high: str) -> DataFrame:
+    """Of two views, `low` and `high`: whether the drifted value of each lies outside its base interval and whether their order turns.
+
+    base: (view, value, ci_lo, ci_hi); drift: (view, value).  Branch A if any
+    of the three holds, else B; without both views in both tables it is not
+    evaluable and has no branch.
+    """
+    both = base.join(drift.select("view", F.col("value").alias("drifted")), "view")
+    of = lambda view, x: F.max(F.when(F.col("view") == view, x))
+    out = ~F.col("drifted").between(F.col("ci_lo"), F.col("ci_hi"))
+    flip = (of(low, F.col("value")) < of(high, F.col("value"))) != (of(low, F.col("drifted")) < of(high, F.col("drifted")))
+    row = both.agg(of(low, out).alias("low_outside"), of(high, out).alias("high_outside"), flip.alias("order_flip"))
+    any_ = F.col("low_outside") | F.col("high_outside") | F.col("order_flip")
+    there = F.col("low_outside").isNotNull() & F.col("high_outside").isNotNull()
+    return row.withColumn("evaluable", there).withColumn("branch", F.when(there & any_, "A").when(there, "B"))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import tensor
-from ..operators import checks, profile as ops
+from ..operators import checks, profile as ops, resample
 from .inputs import profile, records, with_tables
 from .registry import query, read, rounded
+from .statistics import weights_sql
 
 Q = "least(greatest(floor(normalized_position * 4), 0), 3)"
 _GROUP = """select problem_id, sample_index, condition, bool_or(correct) as correct, count(*) as n_tokens, count(*) filter (token_category = 'think') as n_think_tokens, count(*) filter (token_category = 'answer') as n_answer_tokens, max(pi_length_tokens) as pi_length_tokens, """ + ", ".join(
@@ -119,11 +120,20 @@ def drift_matrix(spark, sf_dir):
     return rounded(ops.drift_matrix(a, [str(i) for i in range(4)]))
 
 
-@query(with_tables("with v as (select condition as view, avg(full_kl) as x from profile group by 1) select count(*) as n_views, count(*) filter (x + case when view = 'click' then 1 else 0 end between x - 0.5 and x + 0.5) as n_inside, 'B' as branch from v"))
+GATE = f"""with c as (select condition as view, problem_id % 7 as cluster, avg(full_kl) as v from profile where problem_id % 2 = 0 and condition in ('click', 'purchase') group by 1, 2),
+d as (select condition as view, avg(full_kl) as v from profile where problem_id % 2 = 1 group by 1), {weights_sql('c', 'cluster', 42)}, m as (select view, replicate, sum(v * w) / sum(w) as m from c join w using (cluster) group by 1, 2),
+i as (select view, quantile_cont(m, 0.025) as lo, quantile_cont(m, 0.975) as hi from m group by 1), b as (select z.view, z.x, i.lo, i.hi, d.v as y from (select view, avg(v) as x from c group by 1) z join i using (view) join d using (view)),
+g as (select l.y not between l.lo and l.hi as low_outside, h.y not between h.lo and h.hi as high_outside, (l.x < h.x) <> (l.y < h.y) as order_flip from b l, b h where l.view = 'click' and h.view = 'purchase')
+select *, true as evaluable, case when low_outside or high_outside or order_flip then 'A' else 'B' end as branch from g"""
+
+
+@query(with_tables(GATE))
 def gate_rule(spark, sf_dir):
-    v = profile(spark, sf_dir).groupBy(F.col("condition").alias("view")).agg(F.avg("full_kl").alias("x"))
-    base = v.select("view", (F.col("x") - 0.5).alias("ci_lo"), (F.col("x") + 0.5).alias("ci_hi"))
-    return ops.gate(base, v.select("view", (F.col("x") + F.when(F.col("view") == "click", 1).otherwise(0)).alias("drift_value")))
+    """Intervals of one half of the problems as the base, means of the other half as the drifted values."""
+    p = profile(spark, sf_dir).where("condition in ('click', 'purchase')")
+    cells = p.where("problem_id % 2 = 0").groupBy(F.col("condition").alias("view"), (F.col("problem_id") % 7).alias("cluster")).agg(F.avg("full_kl").alias("v"))
+    base = resample.mean_interval(cells, resample.weights(cells, "cluster"), "cluster", "v", "view").withColumnRenamed("point", "value")
+    return ops.gate(base, p.where("problem_id % 2 = 1").groupBy(F.col("condition").alias("view")).agg(F.avg("full_kl").alias("value")), "click", "purchase")
 
 
 _LS = "list_transform(embedding, lambda x: cast(x as double) - list_max(embedding) - ln(list_sum(list_transform(embedding, lambda y: exp(cast(y as double) - list_max(embedding))))))"
