@@ -13,7 +13,7 @@ from . import let
 
 def normalize_exact(text: Column) -> Column:
     """Lower case, without anything but a-z and 0-9."""
-    return F.regexp_replace(F.lower(text), "[^a-z0-9]", "")
+    return F.regexp_replace(F.lower(text), "[^a-z0-9]+", "")
 
 
 def tokens(text: Column) -> Column:

@@ -38,15 +38,25 @@ def overlaps(corpus: DataFrame, benchmark: DataFrame, n: int = K.SHINGLE) -> Dat
     return pairs.groupBy("item_id", "doc_id").agg(F.count("*").alias("common"), F.max("n_item").alias("n_item"), F.max("n_doc").alias("n_doc"), longest.alias("_e")).withColumn("example", F.col("_e.shingle")).drop("_e")
 
 
+def _digests(df: DataFrame, key: str) -> DataFrame:
+    """(key, _norm): md5 of the text once all but letters and digits are gone; a text of none of these has no row.
+
+    A generator's output is filtered behind it, so the text is normalized once
+    a row; a filter over a plain column would be pushed to the scan with a
+    second copy of the expression.
+    """
+    norm = let(normalize_exact(F.col("text")), lambda x: F.when(x != "", F.array(F.unhex(F.md5(x.cast("binary"))))))
+    return df.select(key, F.explode_outer(norm).alias("_norm")).where("_norm is not null")
+
+
 def exact(corpus: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(item_id, doc_id) of equal texts once all but letters and digits are gone; empty texts never match.
+    """(item_id, n_exact, first_exact): how many documents are equal to an item, once all but letters and digits are gone, and the first.
 
-    Texts meet by their md5, so the join moves 16 bytes and not the text.
+    Documents are counted by digest before they meet the items, so m copies of
+    a text are one row and not m times m.
     """
-    norm = lambda: F.unhex(F.md5(F.nullif(normalize_exact(F.col("text")), F.lit("")).cast("binary")))
-    items = benchmark.select("item_id", norm().alias("_norm")).where("_norm is not null")
-    docs = corpus.select("doc_id", norm().alias("_norm")).where("_norm is not null")
-    return docs.join(broadcast_if_small(items), "_norm").select("item_id", "doc_id")
+    docs = _digests(corpus, "doc_id").groupBy("_norm").agg(F.count("*").alias("n_exact"), F.min("doc_id").alias("first_exact"))
+    return docs.join(_digests(benchmark, "item_id"), "_norm").select("item_id", "n_exact", "first_exact")
 
 
 def report(corpus: DataFrame, benchmark: DataFrame, n: int = K.SHINGLE) -> DataFrame:
@@ -57,7 +67,7 @@ def report(corpus: DataFrame, benchmark: DataFrame, n: int = K.SHINGLE) -> DataF
         F.max(F.struct("jaccard", (-F.col("doc_id")).alias("d"))).alias("j"),
         F.max(F.struct("containment", (-F.col("doc_id")).alias("d"), "example")).alias("c"),
     )
-    same = exact(corpus, benchmark).groupBy("item_id").agg(F.count("*").alias("n_exact"), F.min("doc_id").alias("first_exact"))
+    same = exact(corpus, benchmark)
     sized = _sets(benchmark, "item_id", "text", n).select("item_id", "n_tokens", F.size("set").alias("n_shingles")).join(benchmark.select("item_id", preview(F.col("text")).alias("question_preview")), "item_id")
     out = sized.join(best, "item_id", "left").join(same, "item_id", "left")
     zero = F.lit(0)

@@ -13,7 +13,7 @@ LEFTOVER = 200  # of a side, compared each with each; more means that the lists
 
 
 def ratio():
-    """Similarity of two texts by matching blocks, vectorised over pairs."""
+    """Similarity of two texts by matching blocks; row by row, as the standard library computes it, in Arrow batches."""
     @F.pandas_udf("double")
     def matching(a: pd.Series, b: pd.Series) -> pd.Series:
         from difflib import SequenceMatcher

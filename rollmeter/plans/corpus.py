@@ -50,7 +50,7 @@ def decontam_top5(spark, sf_dir):
 def exact_overlap(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
     items = docs.select(F.col("doc_id").alias("item_id"), "text")
-    return contamination.exact(docs, items).groupBy("item_id").agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc"))
+    return contamination.exact(docs, items).withColumnsRenamed({"n_exact": "n_docs", "first_exact": "first_doc"})
 
 
 @query(SHINGLES + "select doc_id, cast(len(w) as int) as n_tokens, cast(coalesce(n, 0) as int) as n_shingles from dw left join dn using (doc_id)")
