@@ -61,7 +61,7 @@ def ratio_interval(cells: DataFrame, w: DataFrame, key: str, num: str, den: str)
 
 
 def paired_delta(a: DataFrame, b: DataFrame, w: DataFrame, key: str, value: str, n_boot: int = K.BOOT_REPLICATES, scale: float = 100.0) -> DataFrame:
-    """Mean of (a - b) over the ids of w, times scale: interval, two-sided p of at least 1 / BOOT_REPLICATES, and whether 0 is outside.
+    """Mean of (a - b) over the ids of w, times scale: interval, two-sided p of at least 1 / n_boot, and whether 0 is outside.
 
     An id that a cell lacks makes the contrast null.
     """
@@ -70,7 +70,7 @@ def paired_delta(a: DataFrame, b: DataFrame, w: DataFrame, key: str, value: str,
     point = diff.agg(F.avg("d").alias("delta"), F.count_if(F.col("d").isNull()).alias("n_missing"), F.count("*").alias("n"))
     boot = diff.join(w, key).groupBy("replicate").agg((F.sum(F.col("d") * F.col("w")) / F.sum("w")).alias("m"))
     p = 2 * F.least(F.avg((F.col("m") <= 0).cast("int")), F.avg((F.col("m") >= 0).cast("int")))
-    out = point.crossJoin(boot.agg(*interval(F.col("m")), F.least(F.greatest(p, F.lit(1 / K.BOOT_REPLICATES)), F.lit(1.0)).alias("p")))
+    out = point.crossJoin(boot.agg(*interval(F.col("m")), F.least(F.greatest(p, F.lit(1 / n_boot)), F.lit(1.0)).alias("p")))
     whole = F.col("n_missing") == 0
     for c in ("delta", "ci_lo", "ci_hi", "p"):
         out = out.withColumn(c, F.when(whole, F.col(c)))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grading, text
 from ..operators import contamination, controls, linkage, normalize
-from .registry import ORACLES, query, read, rounded
+from .registry import query, read, rounded
 
 SHINGLES = r"""
 with bw as (select item_id, text, regexp_extract_all(translate(lower(text), '$\', ''), '[a-z0-9]+') as w from benchmark),
@@ -68,25 +68,15 @@ def _wide(spark, sf_dir, trace):
 
 
 @query(r"""with v as (select doc_id as problem_id, lang as question, source as answer, cast(n_chars as double) as difficulty, unnest(['key_points', 'full_trace', 'gist']) as condition,
-  unnest([case when doc_id % 2 = 0 then '' end, substring(text, 1, 20), case when doc_id % 3 = 0 then lang end]) as output from documents)
+  unnest([case when doc_id % 2 = 0 then '' end, text, case when doc_id % 3 = 0 then lang end]) as output from documents)
 select *, question as prompt, output || chr(10) || chr(10) || 'The final answer is \boxed{' || answer || '}.' as target from v where output is not null""")
 def normalize_unpivot(spark, sf_dir):
-    return normalize.rows(_wide(spark, sf_dir, F.substring("text", 1, 20)))
-
-
-@query(ORACLES["normalize_unpivot"].replace("substring(text, 1, 20)", "text"))
-def normalize_unpivot_whole(spark, sf_dir):
     return normalize.rows(_wide(spark, sf_dir, F.col("text")))
 
 
 @query(r"""select doc_id as problem_id, condition, prompt, question, answer, output, case when coalesce(target, '') = '' then case when condition = 'answer_only' then '' else output || chr(10) || chr(10) end || 'The final answer is \boxed{' || answer || '}.' else target end as target, difficulty
-from (select doc_id, case when doc_id % 2 = 0 then 'answer_only' else 'gist' end as condition, lang as prompt, lang as question, source as answer, substring(text, 1, 10) as output, case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then '' else 'given' end as target, cast(n_chars as double) as difficulty from documents)""")
+from (select doc_id, case when doc_id % 2 = 0 then 'answer_only' else 'gist' end as condition, lang as prompt, lang as question, source as answer, text as output, case when doc_id % 3 = 0 then null when doc_id % 3 = 1 then '' else 'given' end as target, cast(n_chars as double) as difficulty from documents)""")
 def long_layout(spark, sf_dir):
-    return _long(spark, sf_dir, F.substring("text", 1, 10))
-
-
-@query(ORACLES["long_layout"].replace("substring(text, 1, 10)", "text"))
-def long_layout_whole(spark, sf_dir):
     return _long(spark, sf_dir, F.col("text"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import grading, tensor
 from ..operators import planning, resample, splits
 from .inputs import graded, records, with_tables
-from .registry import ORACLES, query, read, rounded
+from .registry import query, read, rounded
 
 RULES = """case when coalesce(rescued, false) and has_rescued_output then coalesce(rescued_correct, correct) else correct end as estimator,
  coalesce(case when coalesce(rescued, false) then rescued_correct else correct end, false) as split, coalesce(rescued_correct, correct) as value,
@@ -152,13 +152,8 @@ def verify_tasks(spark, sf_dir):
     return planning.regenerated(planned, r)
 
 
-@query("with o as (select doc_id, row_number() over (order by md5('42:' || doc_id), doc_id) - 1 as p, count(*) over () as n from documents where lang = 'es') select cast(i as bigint) as i, cast(i // n as bigint) as epoch, cast(p as int) as position, doc_id, cast(i + 300000000 as bigint) as sample_seed from generate_series(0, 4999) t(i) join o on i % n = p")
+@query("with o as (select doc_id, row_number() over (order by md5('42:' || doc_id), doc_id) - 1 as p, count(*) over () as n from documents) select cast(i as bigint) as i, cast(i // n as bigint) as epoch, cast(p as int) as position, doc_id, cast(i + 300000000 as bigint) as sample_seed from generate_series(0, 4999) t(i) join o on i % n = p")
 def train_stream(spark, sf_dir):
-    return planning.train_stream(read(spark, sf_dir, "documents").where("lang = 'es'"), "doc_id", 5000, seed=39, offset=3)
-
-
-@query(ORACLES["train_stream"].replace(" where lang = 'es'", ""))
-def train_stream_whole(spark, sf_dir):
     return planning.train_stream(read(spark, sf_dir, "documents"), "doc_id", 5000, seed=39, offset=3)
 
 
@@ -167,15 +162,10 @@ def sampling_profiles(spark, sf_dir):
     return planning.sampling(spark)
 
 
-@query("""with c as (select doc_id, cast(n_chars % 2000 as int) as n from documents), w as (select doc_id, n, greatest(cast(round_even(f * n, 0) as int) - 16, 0) as lo, least(cast(round_even(f * n, 0) as int) + 16, n) as hi from c, (select unnest([0.25, 0.5, 0.75]) as f)),
+@query("""with c as (select doc_id, cast(n_chars as int) as n from documents), w as (select doc_id, n, greatest(cast(round_even(f * n, 0) as int) - 16, 0) as lo, least(cast(round_even(f * n, 0) as int) + 16, n) as hi from c, (select unnest([0.25, 0.5, 0.75]) as f)),
 p as (select distinct doc_id, unnest(generate_series(lo, hi - 1)) as p from w where lo < hi), g as (select doc_id, p, p - row_number() over (partition by doc_id order by p) as k from p)
 select doc_id, count(*) as n_support, count(distinct k) as n_windows from g group by 1""")
 def loss_windows(spark, sf_dir):
-    return _loss_windows(spark, sf_dir, F.col("n_chars") % 2000)
-
-
-@query(ORACLES["loss_windows"].replace("n_chars % 2000", "n_chars"))
-def loss_windows_whole(spark, sf_dir):
     return _loss_windows(spark, sf_dir, F.col("n_chars"))
 
 
@@ -196,14 +186,9 @@ def fork_mask_losses(spark, sf_dir):
     return rounded(df)
 
 
-@query("""with t as (select vec_id, list_transform(embedding[1:12], lambda x: cast(floor(abs(x) * 50) as int)) as ids from embeddings), s as (select vec_id, ids, list_min(list_filter([list_position(ids, 3), list_position(ids, 7)], lambda x: x > 0)) as k from t)
+@query("""with t as (select vec_id, list_transform(embedding, lambda x: cast(floor(abs(x) * 50) as int)) as ids from embeddings), s as (select vec_id, ids, list_min(list_filter([list_position(ids, 3), list_position(ids, 7)], lambda x: x > 0)) as k from t)
 select vec_id, cast(len(case when k is null then ids else ids[1:k] end) as int) as n, case when k is null then 'length' else 'stop' end as reason, cast(len(case when k is null then ids else ids[1:k] end) as int) + case when k is not null and ids[k] <> 3 then 1 else 0 end as n_eos from s""")
 def stop_truncation(spark, sf_dir):
-    return _stop_truncation(spark, sf_dir, F.slice("embedding", 1, 12))
-
-
-@query(ORACLES["stop_truncation"].replace("embedding[1:12]", "embedding"))
-def stop_truncation_whole(spark, sf_dir):
     return _stop_truncation(spark, sf_dir, F.col("embedding"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import resample
 from .inputs import graded, with_tables
-from .registry import ORACLES, query, read, rounded
+from .registry import query, read, rounded
 
 N = resample.K.BOOT_REPLICATES
 
@@ -67,19 +67,10 @@ def auroc(spark, sf_dir):
 _T = "t as (select score, cluster, count(*) filter (correct) as p, count(*) filter (not correct) as q from graded group by 1, 2)"
 
 
-@query(with_tables(f"with {_T}, {weights_sql('t', 'cluster', 42)}, z as (select replicate, score, sum(p * w) as p, sum(q * w) as q from t join w using (cluster) group by 1, 2), u as (select replicate, p, q, p * (coalesce(sum(q) over (partition by replicate order by score rows between unbounded preceding and 1 preceding), 0) + q / 2e0) as u from z), b as (select replicate, sum(u) / nullif(sum(p) * sum(q), 0) as m from u group by 1), z0 as (select score, sum(p) as p, sum(q) as q from t group by 1), u0 as (select p, q, p * (coalesce(sum(q) over (order by score rows between unbounded preceding and 1 preceding), 0) + q / 2e0) as u from z0) select (select sum(p) from u0)::bigint as n_pos, (select sum(q) from u0)::bigint as n_neg, round((select sum(u) / (sum(p) * sum(q)) from u0), 6) as auroc, round(quantile_cont(m, 0.025), 6) as ci_lo, round(quantile_cont(m, 0.975), 6) as ci_hi, count(*) as n_replicates from b where m is not null").replace(str(N - 1), "499"))
+@query(with_tables(f"with {_T}, {weights_sql('t', 'cluster', 42)}, z as (select replicate, score, sum(p * w) as p, sum(q * w) as q from t join w using (cluster) group by 1, 2), u as (select replicate, p, q, p * (coalesce(sum(q) over (partition by replicate order by score rows between unbounded preceding and 1 preceding), 0) + q / 2e0) as u from z), b as (select replicate, sum(u) / nullif(sum(p) * sum(q), 0) as m from u group by 1), z0 as (select score, sum(p) as p, sum(q) as q from t group by 1), u0 as (select p, q, p * (coalesce(sum(q) over (order by score rows between unbounded preceding and 1 preceding), 0) + q / 2e0) as u from z0) select (select sum(p) from u0)::bigint as n_pos, (select sum(q) from u0)::bigint as n_neg, round((select sum(u) / (sum(p) * sum(q)) from u0), 6) as auroc, round(quantile_cont(m, 0.025), 6) as ci_lo, round(quantile_cont(m, 0.975), 6) as ci_hi, count(*) as n_replicates from b where m is not null"))
 def boot_auroc(spark, sf_dir):
-    return _boot_auroc(spark, sf_dir, 500)
-
-
-@query(ORACLES["boot_auroc"].replace("499", str(N - 1)))
-def boot_auroc_full(spark, sf_dir):
-    return _boot_auroc(spark, sf_dir, N)
-
-
-def _boot_auroc(spark, sf_dir, n_boot):
     g = graded(spark, sf_dir)
-    return rounded(resample.auroc_interval(g, resample.weights(g, "cluster", n_boot=n_boot), "cluster", "score", F.col("correct")))
+    return rounded(resample.auroc_interval(g, resample.weights(g, "cluster"), "cluster", "score", F.col("correct")))
 
 
 @query("with t as (select source, (abs(hash_) % 1000) / 9999e0 as p from (select source, count(*) * 37 as hash_ from documents group by 1)) select source, round(p, 6) as p, round(h, 6) as p_holm, h <= 0.05 as rejected from (select source, p, least(1, max((m - k + 1) * p) over (order by p, source rows unbounded preceding)) as h from (select source, p, count(*) over () as m, row_number() over (order by p, source) as k from t))")
