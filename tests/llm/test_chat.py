@@ -54,3 +54,18 @@ def test_null_conversations_and_turns_keep_their_calls(spark):
         assert (got[k].n_calls, got[k].status) == (2, "open") and [c["id"] for c in json.loads(got[k].json)["tool_calls"]] == ["a", "b"]
     assert (got[None, 1].n_open, got[3, None].n_open) == (1, 2)
     assert [got[k].status for k in ((None, 2), (3, 2), (4, 1))] == ["linked", "early", "orphan"]
+
+
+def test_early_results_repeated_rows_and_calls_without_identifier(spark):
+    call = json.dumps({"tool_calls": [{"id": "a", "name": "search", "arguments": {"query": "q"}}, {"name": "search", "arguments": {"query": "r"}}]})
+    data = [(1, 0, "tool", '{"tool_call_id":"a","content":"soon"}', None), (1, 1, "assistant", call, None), (1, 1, "assistant", call, None), (2, 1, "assistant", call, None)]
+    got = chat.format_messages(rows(spark, data)).collect()
+    assert len(got) == 4
+    by = {}
+    for r in got:
+        by.setdefault((r.conv_id, r.turn), []).append(r)
+    assert [r.status for r in by[1, 0]] == ["early"]
+    assert len(by[1, 1]) == 2 and len({r.json for r in by[1, 1]}) == 1
+    for r in by[1, 1] + by[2, 1]:
+        assert (r.n_calls, r.n_open, r.n_invalid, r.status) == (2, 2, 0, "open")
+        assert sorted(c.get("id") or "" for c in json.loads(r.json)["tool_calls"]) == ["", "a"]

@@ -238,3 +238,27 @@ def test_a_toxic_word_of_few_of_many_examples_is_a_term(spark):
     got = {r.doc_id: r for r in toxicity.score(docs.where("doc_id % 10 = 3"), model).collect()}
     assert model.vocabulary.size > 300  # by words and beginnings that only few texts have
     assert all(r.predicted == int(i < 800) and bool(r.evidence) == (i < 800) for i, r in got.items())
+
+
+def test_quality_sites_equal_a_plain_shrinkage(spark):
+    """Host and path posteriors recounted from the documents' own probabilities and labels."""
+    r = random.Random(8)
+    docs = [(i, r.choice(["plain words here. ", "NOISE!! LOUD!! "]) * r.randint(1, 5), r.choice(["en", "de"]), r.choice(["a", "a", "a", "b", "c"])) for i in range(200)]
+    labels = {i: int(t.startswith("plain")) for i, t, _, _ in docs if i % 3}
+    df = spark.createDataFrame([(*d, "extra") for d in docs], "doc_id long, text string, lang string, source string, score string")
+    got = {x.doc_id: x for x in quality.score(df, spark.createDataFrame(list(labels.items()), "doc_id long, quality int"), F.col("doc_id") % 5 != 0).collect()}
+    good, n = {}, {}
+    for i, _, lang, host in docs:
+        w, v = (1.0, float(labels[i])) if i in labels and i % 5 else (quality.WEIGHT_OF_GUESS, got[i].p_document)
+        for key in ((), (host,), (host, lang)):
+            good[key], n[key] = good.get(key, 0) + v * w, n.get(key, 0) + w
+    mean = good[()] / n[()]
+
+    def strength(level):
+        own = [k for k in n if len(k) == level]
+        return quality._moments(mean, len(own), sum(n[k] for k in own), sum(n[k] * (good[k] / n[k] - mean) ** 2 for k in own))
+
+    for i, _, lang, host in docs:
+        p_host = (good[host,] + strength(1) * mean) / (n[host,] + strength(1))
+        p_path = (good[host, lang] + strength(2) * p_host) / (n[host, lang] + strength(2))
+        assert np.isclose(got[i].p_host, p_host) and np.isclose(got[i].p_path, p_path)
