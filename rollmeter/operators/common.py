@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,20 +29,57 @@ def no_nan(x: Column) -> Column:
 RANGES = 4  # of values for each shuffle partition
 
 
-def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
-    """A global rank from 0 in a total order whose first column is a number, without a single-task sort.
+def hash_number(key: Column) -> Column:
+    """The first 48 bits of a hexadecimal digest as a number of the same order."""
+    return F.conv(F.substring(key, 1, 12), 16, 10).cast("double")
+
+
+def _cuts(df: DataFrame, x: Column, n: int) -> list[float]:
+    return df.agg(F.percentile_approx(x, [i / n for i in range(1, n)], 10_000)).first()[0] or []
+
+
+def _below(cuts: list[float], x: Column) -> Column:
+    """How many of the sorted cuts are less than x, by binary steps."""
+    bounds = F.array(*map(F.lit, cuts)).cast("array<double>")
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length())))).cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) < x, at + step).otherwise(at))
+
+
+def ranked(df: DataFrame, *order: Column, name: str = "rank", within: tuple[str, ...] = ()) -> DataFrame:
+    """A rank from 0 in a total order whose first column is a number, over all rows or within facets, without a task that sorts them all.
 
     Rows fall into ranges of the first column, cut at approximate quantiles; a
     row's rank is its number in its range plus the sizes of the ranges below,
-    which are a row for each range.  The ranges are a function of the values,
-    so a task that is run again gives the same ranks.
+    which are a row for each range (and facet).  A value that fills whole
+    ranges is cut once more by the second column, if that is a number.  The
+    ranges are a function of the values, so a task that is run again gives the
+    same ranks.  Nulls come first.
     """
     n = RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     first = order[0].cast("double")
-    cuts = df.agg(F.percentile_approx(first, [i / n for i in range(1, n)], 10_000)).first()[0] or []
-    bounds = F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>")
-    placed = df.withColumn("_range", F.size(F.filter(bounds, lambda b: b < first)))
-    sizes = placed.groupBy("_range").agg(F.count("*").alias("_size"))
-    before = sizes.select("_range", (F.sum("_size").over(Window.orderBy("_range")) - F.col("_size")).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
-    return placed.withColumn("_at", inside).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_at")).drop("_range", "_at", "_before")
+    cuts = _cuts(df, first, n)
+    placed = df.withColumn("_range", _below(sorted(set(cuts)), first))
+    heavy = sorted({x for x in cuts if cuts.count(x) > 1}) if len(set(cuts)) < len(cuts) else []
+    by = ["_range"]
+    if heavy and len(order) > 1 and df.select(order[1]).schema[0].dataType.typeName() in ("integer", "long", "short", "double", "float"):
+        second = order[1].cast("double")
+        own = _below(sorted(set(_cuts(df, second, n))), second) + 1
+        placed, by = placed.withColumn("_part", F.when(first.isin(heavy), own).otherwise(0)), ["_range", "_part"]
+    sizes = placed.groupBy(*within, *by).agg(F.count("*").alias("_size"))
+    sizes = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy(*within).orderBy(*by)) - F.col("_size"))
+    before = sizes.select(*(F.col(c).alias(f"_of_{c}") for c in (*within, *by)), "_before")
+    numbered = placed.withColumn("_at", F.row_number().over(Window.partitionBy(*within, *by).orderBy(*order)) - 1)
+    same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*within, *by)))
+    out = numbered.join(before if within else F.broadcast(before), same)
+    return out.withColumn(name, F.col("_before") + F.col("_at")).drop("_at", "_before", *by, *(f"_of_{c}" for c in (*within, *by)))
+
+
+def numbered_values(df: DataFrame, value: str, name: str) -> DataFrame:
+    """df with a number for each value that has the values' order; a numeric column is its own number."""
+    if df.schema[value].dataType.typeName() in ("integer", "long", "short", "double", "float"):
+        return df.withColumn(name, F.col(value))
+    text = F.col(value).cast("string")
+    values = df.select(value).distinct()
+    head = F.conv(F.hex(F.rpad(F.substring(F.encode(text, "utf-8"), 1, 6), 6, F.lit(b"\0"))), 16, 10).cast("double")  # six bytes keep the order of texts
+    values = ranked(values, head, F.col(value), name=name).withColumnRenamed(value, "_value")
+    return df.join(broadcast_if_small(values), F.col(value).eqNullSafe(F.col("_value"))).drop("_value")

@@ -7,13 +7,16 @@ never meet rows of another, so replicates spread over the cluster.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .. import constants as K
 from ..functions.draws import draw
+from .common import broadcast_if_small, hash_number, numbered_values, ranked
 
 BOUNDS = (0.025, 0.975)
 
@@ -120,15 +123,20 @@ def auroc_interval(scores: DataFrame, w: DataFrame, key: str, score: str, label:
 
 def spearman(df: DataFrame, a: str, b: str, key: str, *facet: str) -> DataFrame:
     """Correlation of ordinal ranks, equal values ranked by key."""
-    w = Window.partitionBy(*facet)
-    ranks = df.withColumn("_a", F.row_number().over(w.orderBy(a, key))).withColumn("_b", F.row_number().over(w.orderBy(b, key)))
+    ranks = numbered_values(numbered_values(df.select(*facet, a, b, key), a, "_x"), b, "_y")
+    ranks = ranked(ranks, F.col("_x"), F.col(key), name="_a", within=facet)
+    ranks = ranked(ranks, F.col("_y"), F.col(key), name="_b", within=facet)
     return ranks.groupBy(*facet).agg(F.corr("_a", "_b").alias("rho"), F.count("*").alias("n"))
 
 
 def average_rank(df: DataFrame, value: str, *facet: str) -> DataFrame:
-    """df with ranks from 1, equal values getting the mean of their ranks."""
-    w = Window.partitionBy(*facet)
-    return df.withColumn("avg_rank", F.rank().over(w.orderBy(value)) + (F.count("*").over(Window.partitionBy(*facet, value)) - 1) / 2)
+    """df with ranks from 1, equal values getting the mean of their ranks; the window runs over different values and not over rows."""
+    ties = df.groupBy(*facet, value).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*facet).orderBy(value))
+    own = [F.col(c).alias(f"_of_{c}") for c in (*facet, value)]
+    ties = ties.select(*own, (upto - (F.col("_n") - 1) / 2).alias("avg_rank"))
+    same = reduce(lambda x, y: x & y, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*facet, value)))
+    return df.join(broadcast_if_small(ties), same).drop(*(f"_of_{c}" for c in (*facet, value)))
 
 
 def external_interval(counts: DataFrame, n_boot: int = K.BOOT_REPLICATES, seed: int = K.SEED_EXTERNAL, per: int = 12) -> DataFrame:
@@ -178,48 +186,60 @@ def welch(values: DataFrame, value: str, side: str, conf: float = 0.95) -> DataF
     return r.withColumn("half_width", _t_half(0.5 + conf / 2)(F.col("df")) * F.sqrt(va + vb)).select("delta", "df", "half_width")
 
 
-LOGISTIC = dict(l2=1.0, rounds=25, tol=1e-10, clip=30.0)
-
+# The ridge of both coefficients, rounds, the least step, and the bound of the log-odds.
+RIDGE, ROUNDS, LEAST_STEP, MOST_LOGIT = 1.0, 25, 1e-10, 30.0
 
-def _logistic(x, y):
-    import numpy as np
 
-    mean, sd = x.mean(), x.std()
-    sd = 1.0 if sd < 1e-12 else sd
-    z = np.c_[np.ones(len(x)), (x - mean) / sd]
-    beta = np.zeros(2)
-    for _ in range(LOGISTIC["rounds"]):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -LOGISTIC["clip"], LOGISTIC["clip"])))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + LOGISTIC["l2"] * np.eye(2), z.T @ (y - p) - LOGISTIC["l2"] * beta)
-        beta = beta + step
-        if np.abs(step).max() < LOGISTIC["tol"]:
-            break
-    return mean, sd, beta
+def _odds(z: Column) -> Column:
+    return 1 / (1 + F.exp(-F.least(F.greatest(F.col("_b0") + F.col("_b1") * z, F.lit(-MOST_LOGIT)), F.lit(MOST_LOGIT))))
 
 
 def out_of_fold(rows: DataFrame, feature: str, label: str, cluster: str, group: str, folds: int = 8, seed: int = K.SEED_PROFILE) -> DataFrame:
-    """rows with `predicted`: a ridge logistic fit on the other folds, all rows of a cluster sharing a fold.
+    """rows with `fold` and `predicted`: a ridge logistic fit on the other folds, all rows of a cluster sharing a fold.
 
-    One task for each group, which is a table of analysis results and not of tokens.
+    Rows without the feature are left out; `predicted` is null where a group
+    has no other fold.  Rows shrink to counts of equal (group, fold, feature,
+    label); every Newton step of all fits together is one aggregation of
+    these, so no task holds a group.  The driver keeps two coefficients for
+    each group and fold.
     """
-    ids = rows.select(group, cluster).distinct()
-    w = Window.partitionBy(group).orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(cluster).cast("string")).cast("binary")), cluster)
-    fold = ids.withColumn("fold", (F.row_number().over(w) - 1) % folds)
-    data = rows.join(fold, [group, cluster]).where(F.col(feature).isNotNull())
-    schema = StructType([*data.schema, StructField("predicted", DoubleType())])
-
-    def fit(pdf):
-        import numpy as np
-
-        out, x, y = np.full(len(pdf), np.nan), pdf[feature].to_numpy(float), pdf[label].to_numpy(float)
-        for k in range(folds):
-            test = (pdf["fold"] == k).to_numpy()
-            if test.any() and (~test).any():
-                mean, sd, beta = _logistic(x[~test], y[~test])
-                out[test] = 1 / (1 + np.exp(-np.clip(beta[0] + beta[1] * (x[test] - mean) / sd, -30, 30)))
-        return pdf.assign(predicted=out)
-
-    return data.groupBy(group).applyInPandas(fit, schema)
+    ids = rows.select(F.col(group).alias("_g"), F.col(cluster).alias("_c")).distinct()
+    order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_c").cast("string")).cast("binary"))
+    ids = ranked(ids, hash_number(order), order, F.col("_c"), name="_i", within=("_g",)).select("_g", "_c", (F.col("_i") % folds).cast("int").alias("fold"))
+    data = rows.where(F.col(feature).isNotNull()).join(ids, F.col(group).eqNullSafe(F.col("_g")) & F.col(cluster).eqNullSafe(F.col("_c"))).drop("_g", "_c")
+    x, y, n = F.col(feature).cast("double").alias("_x"), F.col(label).cast("double").alias("_y"), F.count("*").alias("_n")
+    cells = data.groupBy(F.col(group).alias("_g"), "fold", x, y).agg(n).persist()
+    others = cells.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).where("_k <> fold")
+    fits = others.groupBy("_g", "_k").agg((F.sum(F.col("_x") * F.col("_n")) / F.sum("_n")).alias("_mean"))
+    apart = others.withColumnsRenamed({"_g": "_h", "_k": "_l"}).join(F.broadcast(fits), F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_k") == F.col("_l")))
+    spread = F.sqrt(F.sum((F.col("_x") - F.col("_mean")) ** 2 * F.col("_n")) / F.sum("_n"))
+    state = {(r._g, r._k): [r._mean, r.sd if r.sd >= 1e-12 else 1.0, 0.0, 0.0] for r in apart.groupBy("_g", "_k", "_mean").agg(spread.alias("sd")).collect()}
+    schema = StructType([StructField("_g", rows.schema[group].dataType), StructField("_k", IntegerType()), *(StructField(c, DoubleType()) for c in ("_mean", "_sd", "_b0", "_b1"))])
+
+    def fitted(keys) -> DataFrame:
+        return F.broadcast(rows.sparkSession.createDataFrame([(*k, *state[k]) for k in keys], schema))
+
+    z = (F.col("_x") - F.col("_mean")) / F.col("_sd")
+    moving = list(state)
+    for _ in range(ROUNDS):
+        if not moving:
+            break
+        on = others.withColumnsRenamed({"_g": "_h", "_k": "_l"}).join(fitted(moving), F.col("_g").eqNullSafe(F.col("_h")) & (F.col("_k") == F.col("_l")))
+        on = on.select("_g", "_k", "_n", z.alias("z"), _odds(z).alias("p"), "_y").withColumn("w", F.col("_n") * F.col("p") * (1 - F.col("p"))).withColumn("e", F.col("_n") * (F.col("_y") - F.col("p")))
+        sums = on.groupBy("_g", "_k").agg(F.sum("w").alias("a"), F.sum(F.col("w") * F.col("z")).alias("b"), F.sum(F.col("w") * F.col("z") ** 2).alias("c"), F.sum("e").alias("d"), F.sum(F.col("e") * F.col("z")).alias("f"))
+        moving = []
+        for r in sums.collect():  # a row for each group and fold
+            own = state[r._g, r._k]
+            a, c, d, f = r.a + RIDGE, r.c + RIDGE, r.d - RIDGE * own[2], r.f - RIDGE * own[3]
+            det = a * c - r.b * r.b
+            step = (c * d - r.b * f) / det, (a * f - r.b * d) / det
+            own[2], own[3] = own[2] + step[0], own[3] + step[1]
+            if max(map(abs, step)) >= LEAST_STEP:
+                moving.append((r._g, r._k))
+    cells.unpersist()
+    z = (F.col(feature).cast("double") - F.col("_mean")) / F.col("_sd")
+    with_fits = data.join(fitted(state), F.col(group).eqNullSafe(F.col("_g")) & (F.col("fold") == F.col("_k")), "left")
+    return with_fits.withColumn("predicted", F.when(z.isNotNull(), _odds(z))).drop("_g", "_k", "_mean", "_sd", "_b0", "_b1")
 
 
 def win_table(aurocs: DataFrame, view: str = "view", feature: str = "feature") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rollmeter import schemas, sources, streaming
 from rollmeter.functions import grading, student_t, tensor, text
 from rollmeter.operators import checks, controls, linkage, normalize, planning, profile, resample, splits
+from rollmeter.operators.common import numbered_values, ranked
 from rollmeter.sources import sinks
 
 
@@ -223,3 +224,38 @@ def test_checks_raise(spark):
         checks.demand(checks.row_count(spark.range(3), 4))
     assert checks.same_sets(spark.range(3), spark.range(1, 4)).count() == 2
     assert planning.half(spark.range(5), "id", 1).count() == 2
+
+
+def test_ranks_within_facets_with_a_hot_value_and_nulls(spark):
+    rows = [(i, None if i % 11 == 0 else "ab"[i % 2], 5 if i % 3 else i // 7, None if i % 13 == 0 else f"{'x' * (i % 9)}{i % 4}é") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, g string, v int, s string")
+    for value in ("v", "s"):
+        got = ranked(numbered_values(df, value, "_x"), F.col("_x"), F.col("id"), name="r", within=("g",))
+        want = df.selectExpr("id", f"row_number() over (partition by g order by {value}, id) - 1 as r")
+        assert sorted((r.id, r.r) for r in got.collect()) == sorted(map(tuple, want.collect()))
+        mean = df.selectExpr("id", f"rank() over (partition by g order by {value}) + (count(*) over (partition by g, {value}) - 1) / 2 as r")
+        assert sorted((r.id, r.avg_rank) for r in resample.average_rank(df, value, "g").collect()) == sorted(map(tuple, mean.collect()))
+    assert ranked(df.limit(0), F.col("v"), F.col("id"), within=("g",)).count() == 0
+
+
+def test_out_of_fold_equals_a_plain_fit(spark):
+    import numpy as np
+
+    rows = [(g, i // 3, None if i == 50 else (i * 37 % 101) / 9 * (1 if g else 1000), float((i * 37 % 101) + (i * 53 % 40) > 70)) for g in (0, 1, None) for i in range(120)] + [(2, 0, 1.0, 1.0), (2, 0, 2.0, 0.0)]
+    df = spark.createDataFrame(rows, "g int, c int, x double, y double")
+    got = [(r.g, r.fold, r.x, r.y, r.predicted) for r in resample.out_of_fold(df, "x", "y", "c", "g", folds=4).collect()]
+    assert len(got) == len(rows) - 3
+    for g in {r[0] for r in got}:
+        own = [r for r in got if r[0] == g]
+        for k in {r[1] for r in own}:
+            x, y = (np.array([r[i] for r in own if r[1] != k]) for i in (2, 3))
+            if not len(x):
+                assert all(r[4] is None for r in own)
+                continue
+            z, beta = np.c_[np.ones(len(x)), (x - x.mean()) / x.std()], np.zeros(2)
+            for _ in range(40):
+                p = 1 / (1 + np.exp(-z @ beta))
+                beta = beta + np.linalg.inv(z.T * (p * (1 - p)) @ z + np.eye(2)) @ (z.T @ (y - p) - beta)
+            for r in own:
+                if r[1] == k:
+                    assert math.isclose(r[4], 1 / (1 + math.exp(-beta[0] - beta[1] * (r[2] - x.mean()) / x.std())), abs_tol=1e-9)
