@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -29,13 +30,8 @@ def no_nan(x: Column) -> Column:
 RANGES = 4  # of values for each shuffle partition
 
 
-def hash_number(key: Column) -> Column:
-    """The first 48 bits of a hexadecimal digest as a number of the same order."""
-    return F.conv(F.substring(key, 1, 12), 16, 10).cast("double")
-
-
-def _cuts(df: DataFrame, x: Column, n: int) -> list[float]:
-    return df.agg(F.percentile_approx(x, [i / n for i in range(1, n)], 10_000)).first()[0] or []
+HASH_BITS = 48  # of a digest, that a double holds exactly
+NUMBERS = ("short", "integer", "long", "float", "double")
 
 
 def _below(cuts: list[float], x: Column) -> Column:
@@ -45,41 +41,54 @@ def _below(cuts: list[float], x: Column) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.get(bounds, at + step - 1) < x, at + step).otherwise(at))
 
 
-def ranked(df: DataFrame, *order: Column, name: str = "rank", within: tuple[str, ...] = ()) -> DataFrame:
+def ranked(df: DataFrame, *order: Column, name: str = "rank", within: tuple[str, ...] = (), total: str | None = None, cuts: list[float] | None = None, measured: DataFrame | None = None) -> DataFrame:
     """A rank from 0 in a total order whose first column is a number, over all rows or within facets, without a task that sorts them all.
 
-    Rows fall into ranges of the first column, cut at approximate quantiles; a
-    row's rank is its number in its range plus the sizes of the ranges below,
-    which are a row for each range (and facet).  A value that fills whole
-    ranges is cut once more by the second column, if that is a number.  The
-    ranges are a function of the values, so a task that is run again gives the
-    same ranks.  Nulls come first.
+    Rows fall into ranges of the first column, cut at approximate quantiles
+    (or at the given cuts); a row's rank is its number in its range plus the
+    sizes of the ranges below, which are a row for each range (and facet).  A
+    value that fills whole ranges is cut once more by the second column, if
+    that is a number.  The ranges are a function of the values, so a task that
+    is run again gives the same ranks.  Nulls come first.  `total` names a
+    column for the size of the facet; `measured` has the rows of df from a
+    shorter plan, for the quantiles.
     """
     n = RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    first = order[0].cast("double")
-    cuts = _cuts(df, first, n)
+    first, by, own = order[0].cast("double"), ["_range"], []
+    if cuts is None:
+        more = len(order) > 1 and df.select(order[1]).schema[0].dataType.typeName() in NUMBERS
+        columns = [first, order[1].cast("double")] if more else [first]
+        found = (df if measured is None else measured).agg(*(F.percentile_approx(c, [i / n for i in range(1, n)], 10_000) for c in columns)).first()
+        cuts, own = found[0] or [], (found[1] if more else None) or []
+    heavy = sorted(x for x, times in Counter(cuts).items() if times > 1)
     placed = df.withColumn("_range", _below(sorted(set(cuts)), first))
-    heavy = sorted({x for x in cuts if cuts.count(x) > 1}) if len(set(cuts)) < len(cuts) else []
-    by = ["_range"]
-    if heavy and len(order) > 1 and df.select(order[1]).schema[0].dataType.typeName() in ("integer", "long", "short", "double", "float"):
-        second = order[1].cast("double")
-        own = _below(sorted(set(_cuts(df, second, n))), second) + 1
-        placed, by = placed.withColumn("_part", F.when(first.isin(heavy), own).otherwise(0)), ["_range", "_part"]
-    sizes = placed.groupBy(*within, *by).agg(F.count("*").alias("_size"))
-    sizes = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy(*within).orderBy(*by)) - F.col("_size"))
-    before = sizes.select(*(F.col(c).alias(f"_of_{c}") for c in (*within, *by)), "_before")
+    if heavy and own:
+        part = F.when(first.isin(heavy), _below(sorted(set(own)), order[1].cast("double")) + 1).otherwise(0)
+        placed, by = placed.withColumn("_part", part), ["_range", "_part"]
+    sizes, facet = placed.groupBy(*within, *by).agg(F.count("*").alias("_size")), Window.partitionBy(*within)
+    before = sizes.select(*(F.col(c).alias(f"_of_{c}") for c in (*within, *by)), (F.sum("_size").over(facet.orderBy(*by)) - F.col("_size")).alias("_before"), *([F.sum("_size").over(facet).alias(total)] if total else []))
     numbered = placed.withColumn("_at", F.row_number().over(Window.partitionBy(*within, *by).orderBy(*order)) - 1)
     same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in (*within, *by)))
     out = numbered.join(before if within else F.broadcast(before), same)
     return out.withColumn(name, F.col("_before") + F.col("_at")).drop("_at", "_before", *by, *(f"_of_{c}" for c in (*within, *by)))
 
 
+def ranked_by_digest(df: DataFrame, digest: Column, *ties: Column, **named) -> DataFrame:
+    """`ranked` in the order of a hexadecimal digest, whose ranges are even and need no quantiles."""
+    n = RANGES * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    number = F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("double")
+    return ranked(df, number, digest, *ties, cuts=[float((1 << HASH_BITS) * i // n) for i in range(1, n)], **named)
+
+
 def numbered_values(df: DataFrame, value: str, name: str) -> DataFrame:
     """df with a number for each value that has the values' order; a numeric column is its own number."""
-    if df.schema[value].dataType.typeName() in ("integer", "long", "short", "double", "float"):
+    if df.schema[value].dataType.typeName() in NUMBERS:
         return df.withColumn(name, F.col(value))
-    text = F.col(value).cast("string")
-    values = df.select(value).distinct()
-    head = F.conv(F.hex(F.rpad(F.substring(F.encode(text, "utf-8"), 1, 6), 6, F.lit(b"\0"))), 16, 10).cast("double")  # six bytes keep the order of texts
-    values = ranked(values, head, F.col(value), name=name).withColumnRenamed(value, "_value")
-    return df.join(broadcast_if_small(values), F.col(value).eqNullSafe(F.col("_value"))).drop("_value")
+    values = df.select(F.col(value).alias("_value")).distinct()
+    few = values.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if few:  # a bounded list of values: one task numbers it
+        values = F.broadcast(values.withColumn(name, F.row_number().over(Window.orderBy("_value"))))
+    else:
+        head = F.substring(F.encode(F.col("_value").cast("string"), "utf-8"), 1, 6)  # six bytes keep the order of texts
+        values = ranked(values, F.conv(F.hex(F.rpad(head, 6, F.lit(b"\0"))), 16, 10).cast("double"), F.col("_value"), name=name)
+    return df.join(values, F.col(value).eqNullSafe(F.col("_value"))).drop("_value")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions.draws import order_key, sample_seed
 from ..functions.text import cell_name, padded, split_name
-from .common import broadcast_if_small, hash_number, ranked
+from .common import BROADCAST_ROWS, ranked_by_digest
 
 
 def item_index(ids: DataFrame, key: str = "problem_id", order: str | None = None, shard: int | None = None) -> DataFrame:
@@ -104,10 +104,11 @@ def shard_slice(items: DataFrame, i: int, n: int) -> DataFrame:
 def train_stream(items: DataFrame, key: str, examples: int, seed: int = 42, offset: int = 0) -> DataFrame:
     """(i, epoch, position, key): the shuffled training items, over and over."""
     by = order_key(seed + offset, F.col(key))
-    order = ranked(items.select(key), hash_number(by), by, F.col(key), name="position").withColumn("position", F.col("position").cast("int"))
+    order = ranked_by_digest(items.select(key), by, F.col(key), name="position").withColumn("position", F.col("position").cast("int"))
     n = max(1, items.count())
+    order = F.broadcast(order) if n <= BROADCAST_ROWS else order
     at = items.sparkSession.range(examples).select(F.col("id").alias("i"), F.floor(F.col("id") / n).alias("epoch"), (F.col("id") % n).cast("int").alias("position"))
-    return at.join(broadcast_if_small(order), "position").withColumn("sample_seed", F.col("i") + offset * 100_000_000)
+    return at.join(order, "position").withColumn("sample_seed", F.col("i") + offset * 100_000_000)
 
 
 def sampling(spark, protocol: Column | None = None) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .. import constants as K
 from ..functions.draws import draw
-from .common import broadcast_if_small, hash_number, numbered_values, ranked
+from .common import broadcast_if_small, numbered_values, ranked, ranked_by_digest
 
 BOUNDS = (0.025, 0.975)
 
@@ -123,9 +123,9 @@ def auroc_interval(scores: DataFrame, w: DataFrame, key: str, score: str, label:
 
 def spearman(df: DataFrame, a: str, b: str, key: str, *facet: str) -> DataFrame:
     """Correlation of ordinal ranks, equal values ranked by key."""
-    ranks = numbered_values(numbered_values(df.select(*facet, a, b, key), a, "_x"), b, "_y")
-    ranks = ranked(ranks, F.col("_x"), F.col(key), name="_a", within=facet)
-    ranks = ranked(ranks, F.col("_y"), F.col(key), name="_b", within=facet)
+    base = numbered_values(numbered_values(df.select(*facet, a, b, key), a, "_x"), b, "_y")
+    ranks = ranked(base, F.col("_x"), F.col(key), name="_a", within=facet)
+    ranks = ranked(ranks, F.col("_y"), F.col(key), name="_b", within=facet, measured=base)
     return ranks.groupBy(*facet).agg(F.corr("_a", "_b").alias("rho"), F.count("*").alias("n"))
 
 
@@ -205,7 +205,7 @@ def out_of_fold(rows: DataFrame, feature: str, label: str, cluster: str, group:
     """
     ids = rows.select(F.col(group).alias("_g"), F.col(cluster).alias("_c")).distinct()
     order = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("_c").cast("string")).cast("binary"))
-    ids = ranked(ids, hash_number(order), order, F.col("_c"), name="_i", within=("_g",)).select("_g", "_c", (F.col("_i") % folds).cast("int").alias("fold"))
+    ids = ranked_by_digest(ids, order, F.col("_c"), name="_i", within=("_g",)).select("_g", "_c", (F.col("_i") % folds).cast("int").alias("fold"))
     data = rows.where(F.col(feature).isNotNull()).join(ids, F.col(group).eqNullSafe(F.col("_g")) & F.col(cluster).eqNullSafe(F.col("_c"))).drop("_g", "_c")
     x, y, n = F.col(feature).cast("double").alias("_x"), F.col(label).cast("double").alias("_y"), F.count("*").alias("_n")
     cells = data.groupBy(F.col(group).alias("_g"), "fold", x, y).agg(n).persist()

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions.draws import order_key
-from .common import hash_number, ranked
+from .common import ranked_by_digest
 
 
 def average(cells: DataFrame, key: str, correct: Column, expected: int | None = None) -> DataFrame:
@@ -38,9 +38,7 @@ def quota_split(items: DataFrame, key: str, group: str, quotas: dict[str, int] =
     wanted = sum(quotas.values())
     train, dev, _ = quotas.values()
     order = order_key(seed, F.col(group), F.col(key))
-    sizes = items.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"))
-    df = ranked(items, hash_number(order), order, F.col(key), name="_i", within=(group,)).withColumn("_i", F.col("_i") + 1)
-    df = df.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).drop("_g")
+    df = ranked_by_digest(items, order, F.col(key), name="_i", within=(group,), total="_n").withColumn("_i", F.col("_i") + 1)
     short = F.col("_n") < wanted
     n_train = F.when(short, F.floor(F.col("_n") * (train / wanted))).otherwise(train)
     n_dev = F.when(short, F.floor(F.col("_n") * (dev / wanted))).otherwise(dev)

@@ -226,7 +226,9 @@ def test_checks_raise(spark):
     assert planning.half(spark.range(5), "id", 1).count() == 2
 
 
-def test_ranks_within_facets_with_a_hot_value_and_nulls(spark):
+@pytest.mark.parametrize("most", [1_000_000, 3])
+def test_ranks_within_facets_with_a_hot_value_and_nulls(spark, monkeypatch, most):
+    monkeypatch.setattr("rollmeter.operators.common.BROADCAST_ROWS", most)
     rows = [(i, None if i % 11 == 0 else "ab"[i % 2], 5 if i % 3 else i // 7, None if i % 13 == 0 else f"{'x' * (i % 9)}{i % 4}é") for i in range(300)]
     df = spark.createDataFrame(rows, "id long, g string, v int, s string")
     for value in ("v", "s"):
