@@ -34,7 +34,7 @@ HASH_BITS = 48  # of a digest, that a double holds exactly
 NUMBERS = ("short", "integer", "long", "float", "double")
 
 
-def _below(cuts: list[float], x: Column) -> Column:
+def below(cuts: list[float], x: Column) -> Column:
     """How many of the sorted cuts are less than x, by binary steps."""
     bounds = F.array(*map(F.lit, cuts)).cast("array<double>")
     steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(cuts).bit_length())))).cast("array<int>")
@@ -61,9 +61,9 @@ def ranked(df: DataFrame, *order: Column, name: str = "rank", within: tuple[str,
         found = (df if measured is None else measured).agg(*(F.percentile_approx(c, [i / n for i in range(1, n)], 10_000) for c in columns)).first()
         cuts, own = found[0] or [], (found[1] if more else None) or []
     heavy = sorted(x for x, times in Counter(cuts).items() if times > 1)
-    placed = df.withColumn("_range", _below(sorted(set(cuts)), first))
+    placed = df.withColumn("_range", below(sorted(set(cuts)), first))
     if heavy and own:
-        part = F.when(first.isin(heavy), _below(sorted(set(own)), order[1].cast("double")) + 1).otherwise(0)
+        part = F.when(first.isin(heavy), below(sorted(set(own)), order[1].cast("double")) + 1).otherwise(0)
         placed, by = placed.withColumn("_part", part), ["_range", "_part"]
     sizes, facet = placed.groupBy(*within, *by).agg(F.count("*").alias("_size")), Window.partitionBy(*within)
     before = sizes.select(*(F.col(c).alias(f"_of_{c}") for c in (*within, *by)), (F.sum("_size").over(facet.orderBy(*by)) - F.col("_size")).alias("_before"), *([F.sum("_size").over(facet).alias(total)] if total else []))

@@ -7,16 +7,20 @@ never meet rows of another, so replicates spread over the cluster.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from .. import constants as K
 from ..functions.draws import draw
-from .common import broadcast_if_small, numbered_values, ranked, ranked_by_digest
+from .common import below, broadcast_if_small, numbered_values, ranked, ranked_by_digest
 
 BOUNDS = (0.025, 0.975)
 
@@ -28,13 +32,13 @@ def replicates(spark: SparkSession, n_boot: int = K.BOOT_REPLICATES) -> DataFram
 def weights(clusters: DataFrame, key: str, stratum: str | None = None, n_boot: int = K.BOOT_REPLICATES, seed: int = K.SEED_PROFILE, purpose: str = "") -> DataFrame:
     """(replicate, key, w): how often each id is drawn, within strata of their own sizes.
 
-    Ids are numbered in each stratum by key; slot s of a replicate draws the
+    Ids are numbered in each stratum by key, null last; slot s of a replicate draws the
     number md5("seed:purpose:stratum:replicate:slot") mod n.
     """
     s = F.col(stratum) if stratum else F.lit("all")
     ids = clusters.select(F.col(key).alias("_id"), s.cast("string").alias("_s")).distinct()
     w = Window.partitionBy("_s")
-    ids = ids.withColumn("_i", F.row_number().over(w.orderBy("_id")) - 1).withColumn("_n", F.count("*").over(w))
+    ids = ids.withColumn("_i", F.row_number().over(w.orderBy(F.col("_id").asc_nulls_last())) - 1).withColumn("_n", F.count("*").over(w))
     slots = ids.select("_s", "_i", "_n").withColumnRenamed("_i", "slot")
     draws = slots.select("_s", "slot", "_n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
     picks = draws.select("replicate", "_s", draw(F.col("_n"), seed, purpose, F.col("_s"), F.col("replicate"), F.col("slot")).alias("_i"))
@@ -115,10 +119,99 @@ def auroc(scores: DataFrame, score: str, label: Column, *facet: str, weight: str
     return got.groupBy(*facet).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), F.try_divide(F.sum("_u"), F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auroc"))
 
 
+PIECE = 1 << 14  # cells of a task, about
+BLOCKS = 16  # of replicates, each a task of its own for every piece
+WHOLE = -1  # stands for a replicate that takes every row once
+
+
+def _pieces(cells: DataFrame, score: str, key: str) -> DataFrame:
+    """cells with `_range` and `_part`: ranges of scores between quantiles, a score that fills whole ranges cut by the key, null scores apart."""
+    n = max(1, -(-cells.count() // PIECE))
+    x, part = F.col(score).cast("double"), F.xxhash64(key)
+    found = cells.agg(F.percentile_approx(x, [i / n for i in range(1, n)], 10_000).alias("cuts")).first().cuts if n > 1 else None
+    times = Counter(found or [])
+    cuts = sorted(times)
+    fills = F.get(F.array(*(F.lit(times[c]) for c in cuts)).cast("array<int>"), F.col("_range"))
+    bound = F.get(F.array(*map(F.lit, cuts)).cast("array<double>"), F.col("_range"))
+    placed = cells.withColumn("_range", F.when(x.isNull(), -1).otherwise(below(cuts, x)))
+    return placed.withColumn("_part", F.when(x.isNull(), F.pmod(part, F.lit(n))).when(bound == x, F.pmod(part, fills)).otherwise(0))
+
+
+def _piece_sums(s: np.ndarray, c: np.ndarray, pos: np.ndarray, neg: np.ndarray, w: np.ndarray) -> list[tuple]:
+    """(score, between, positives, negatives, pairs won), by row of w, for the cells of a piece: of its least score, of its greatest, and of what lies between.
+
+    s numbers the piece's scores from 0, c the columns of w, which has a row
+    of weights for each replicate.  Pairs are counted only between the least
+    and the greatest score, as other pieces may have those two.  With few ids
+    they come from the pairs won by every id from every other, else from
+    running sums of each replicate.  All are sums of whole and half numbers,
+    exact below 2**53.
+    """
+    n, ids = int(s.max()) + 1, w.shape[1]
+    if ids * ids <= len(s):
+        p, q = (np.bincount(s * ids + c, x, n * ids).reshape(n, ids) for x in (pos, neg))
+        mid_p, mid_q = p[1:-1], q[1:-1]
+        won = mid_p.T @ (np.cumsum(mid_q, 0) - mid_q / 2)
+        sums = [(w @ p[0], w @ q[0], w @ p[-1], w @ q[-1], w @ mid_p.sum(0), w @ mid_q.sum(0), ((w @ won) * w).sum(1))]
+    else:
+        order = np.argsort(s, kind="stable")
+        c, pos, neg, starts = c[order], pos[order], neg[order], np.searchsorted(s[order], np.arange(n))
+        sums, step = [], max(1, (1 << 19) // len(s))
+        for lo in range(0, len(w), step):
+            own = w[lo : lo + step, c]
+            p, q = np.add.reduceat(own * pos, starts, 1), np.add.reduceat(own * neg, starts, 1)
+            mid_p, mid_q = p[:, 1:-1], q[:, 1:-1]
+            sums.append((p[:, 0], q[:, 0], p[:, -1], q[:, -1], mid_p.sum(1), mid_q.sum(1), (mid_p * (np.cumsum(mid_q, 1) - mid_q / 2)).sum(1)))
+    p0, q0, p2, q2, p1, q1, u1 = map(np.concatenate, zip(*sums, strict=True))
+    return [(0, False, p0, q0, 0 * p0), (n - 1, False, p2, q2, 0 * p2), (0, True, p1, q1, u1)][: min(n, 3)]
+
+
+def _block_sums(key: tuple, cells: pa.Table, drawn: pa.Table) -> pa.Table:
+    """The sums of a piece for a block of replicates; the first block's have those of all rows too."""
+    block, scores, lists = key[2].as_py(), cells["_score"].combine_chunks(), drawn["_drawn"].combine_chunks()
+    own = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy(zero_copy_only=False)) if len(lists) else np.empty(0, int)
+    pairs = lists.flatten()
+    replicates, row = np.unique(pairs.field("replicate").to_numpy(), return_inverse=True)
+    w = np.zeros((len(replicates) + (block == 0), len(lists) + 1))  # the last column: ids that are not drawn
+    np.add.at(w, (row, own), pairs.field("w").to_numpy())
+    if block == 0:
+        replicates, w[-1] = np.append(replicates, WHOLE), 1
+    c = pc.index_in(cells["_id"], drawn["_id"]).fill_null(len(lists)).to_numpy()
+    s = np.zeros(len(scores), int)
+    if scores.null_count == 0:
+        scores, s = np.unique(scores.to_numpy(), return_inverse=True)
+    got = _piece_sums(s, c, *(cells[x].to_numpy().astype(float) for x in ("_pos", "_neg")), w)
+    kind, n = cells.schema.field("_score").type, len(replicates)
+    parts = [pa.table({"replicate": replicates.astype("int64"), "_at": pa.array([scores[i]] * n, kind), "_between": pa.array([between] * n, pa.bool_()), "_p": p, "_q": q, "_u": u}) for i, between, p, q, u in got]
+    return pa.concat_tables(parts)
+
+
 def auroc_interval(scores: DataFrame, w: DataFrame, key: str, score: str, label: Column) -> DataFrame:
-    """Clustered bootstrap of the AUROC: all rows of a drawn cluster, as often as it is drawn."""
-    boot = auroc(scores.join(w, key), score, label, "replicate", weight="w").where("auroc is not null")
-    return auroc(scores, score, label).crossJoin(boot.agg(*interval(F.col("auroc")), F.count("*").alias("n_replicates")))
+    """Clustered bootstrap of the AUROC: all rows of a drawn cluster, as often as it is drawn.
+
+    Rows shrink to counts of equal (score, key), these are dealt to pieces by
+    ranges of scores, and a piece meets the weights of its own ids in blocks
+    of replicates.  Each gives a few sums a replicate, from which the pairs
+    between pieces follow, so no rows are made for replicates times scores, only
+    the weights' for replicates times ids.
+    Null scores are the greatest, null labels count for neither class.
+    """
+    cells = scores.groupBy(F.col(score).alias("_score"), F.col(key).alias("_id")).agg(F.count_if(label).alias("_pos"), F.count_if(~label).alias("_neg"))
+    cells = _pieces(cells, "_score", "_id")
+    drawn = w.groupBy(F.col(key).alias("_id"), F.pmod("replicate", F.lit(BLOCKS)).cast("int").alias("_in_block")).agg(F.collect_list(F.struct("replicate", "w")).alias("_drawn"))
+    drawn = drawn.join(cells.select(F.col("_range").alias("_in_range"), F.col("_part").alias("_in_part"), F.col("_id").alias("_id")).distinct(), "_id")
+    blocks = cells.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    kind = scores.schema[score].dataType.simpleString()
+    sums = blocks.groupBy("_range", "_part", "_block").cogroup(drawn.groupBy("_in_range", "_in_part", "_in_block")).applyInArrow(_block_sums, f"replicate long, _at {kind}, _between boolean, _p double, _q double, _u double")
+    own, order = Window.partitionBy("replicate"), [F.col("_at").asc_nulls_last(), F.col("_between")]
+    upto, here = F.sum("_q").over(own.orderBy(*order)), F.sum("_q").over(Window.partitionBy("replicate", "_at", "_between"))
+    sums = sums.withColumn("_u", F.col("_u") + F.col("_p") * (upto - F.when(F.col("_between"), here).otherwise(here / 2)))
+    area = F.try_divide(F.sum("_u"), F.nullif(F.sum("_p") * F.sum("_q"), F.lit(0.0)))
+    each = sums.groupBy("replicate").agg(F.sum("_p").alias("_p"), F.sum("_q").alias("_q"), area.alias("_area"))
+    whole = F.col("replicate") == WHOLE
+    point = [F.max(F.when(whole, F.col(c))).cast(t).alias(name) for c, t, name in (("_p", "long", "n_pos"), ("_q", "long", "n_neg"), ("_area", "double", "auroc"))]
+    area = F.when(~whole, F.col("_area"))
+    return each.agg(*point, *interval(area), F.count(area).alias("n_replicates"))
 
 
 def spearman(df: DataFrame, a: str, b: str, key: str, *facet: str) -> DataFrame:
