@@ -23,6 +23,7 @@ from ..functions.draws import draw
 from .common import below, broadcast_if_small, numbered_values, ranked, ranked_by_digest
 
 BOUNDS = (0.025, 0.975)
+DRAWN_TOGETHER = 100  # blocks of replicates; a task draws whole blocks
 
 
 def replicates(spark: SparkSession, n_boot: int = K.BOOT_REPLICATES) -> DataFrame:
@@ -39,10 +40,12 @@ def weights(clusters: DataFrame, key: str, stratum: str | None = None, n_boot: i
     ids = clusters.select(F.col(key).alias("_id"), s.cast("string").alias("_s")).distinct()
     w = Window.partitionBy("_s")
     ids = ids.withColumn("_i", F.row_number().over(w.orderBy(F.col("_id").asc_nulls_last())) - 1).withColumn("_n", F.count("*").over(w))
-    slots = ids.select("_s", "_i", "_n").withColumnRenamed("_i", "slot")
-    draws = slots.select("_s", "slot", "_n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("replicate"))
-    picks = draws.select("replicate", "_s", draw(F.col("_n"), seed, purpose, F.col("_s"), F.col("replicate"), F.col("slot")).alias("_i"))
-    counted = picks.groupBy("replicate", "_s", "_i").agg(F.count("*").alias("w"))
+    blocks = min(DRAWN_TOGETHER, n_boot)
+    parts = int(clusters.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    slots = ids.select("_s", F.col("_i").alias("slot"), "_n", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block")).repartition(parts, "_block")
+    draws = slots.withColumn("replicate", F.explode(F.sequence(F.col("_block"), F.lit(n_boot - 1), F.lit(blocks))))
+    picks = draws.select("_block", "replicate", "_s", draw(F.col("_n"), seed, purpose, F.col("_s"), F.col("replicate"), F.col("slot")).alias("_i"))
+    counted = picks.groupBy("_block", "replicate", "_s", "_i").agg(F.count("*").alias("w"))  # where they were drawn
     return counted.join(ids.select("_s", "_i", "_id"), ["_s", "_i"]).select("replicate", F.col("_id").alias(key), "w")
 
 
